@@ -38,6 +38,7 @@ class Words:
     ends: np.ndarray
     text: np.ndarray
     first: np.ndarray
+    heads: list[np.ndarray]
 
 
 _powers: list[np.ndarray] = []
@@ -56,7 +57,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each span; spans are in order and don't overlap."""
-    out = np.empty(len(starts), np.uint64)
+    return head_hashes(data, starts, ends, ())[0]
+
+
+def head_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the spans, and for each of ``heads`` of the spans' first so many bytes."""
+    out = [np.empty(len(starts), np.uint64) for _ in range(1 + len(heads))]
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
@@ -65,9 +71,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
+        begun, scale = sums[s], inverse[s]
+        for k, made in enumerate(out):
+            stop = np.minimum(e, s + heads[k - 1]) if k else e
+            made[i:j] = (sums[stop] - begun) * scale + (stop - s).astype(np.uint64)
         i = j
-    return splitmix(out)
+    return [splitmix(x) for x in out]
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +97,14 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, fold: np.ndarray = LOWER) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, fold: np.ndarray = LOWER, heads: tuple[int, ...] = ()) -> Words:
     """Maximal runs of bytes that aren't separators, after ``fold`` has mapped each byte."""
     folded = fold[data]
     starts, ends = spans(~separators[folded], offsets)
-    text = np.searchsorted(offsets, starts, side="right") - 1
     first = np.searchsorted(starts, offsets, side="left")
-    return Words(span_hashes(folded, starts, ends), starts, ends, text, first)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    hashes, *of_heads = head_hashes(folded, starts, ends, heads)
+    return Words(hashes, starts, ends, text, first, of_heads)
 
 
 def runs_of(w: Words, n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
