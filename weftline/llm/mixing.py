@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import cut, splitmix, written
+from weftline.llm.common import cores, cut, splitmix, written
 
 BLOCK = 64
 SHARD = 4096
@@ -43,7 +43,8 @@ SEED = 20
 ROUNDS = 4
 #: Sources are configured by hand; their sizes, not their rows, come to the driver.
 MAX_SOURCES = 100_000
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
+TASK_SLOTS = 1 << 18
 NULL_SOURCE = "null"
 
 
@@ -100,8 +101,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def _placed(rows: DataFrame) -> DataFrame:
     """``rows`` with ``start``, the words of their source that come before them."""
-    ranges = max(1, math.ceil(rows.count() / RANGE_ROWS))
-    rows = rows.withColumn("range", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * ranges).cast("bigint"))
+    rows = rows.withColumn("range", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("ranges")).cast("bigint")).drop("ranges")
     before = Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source_no", "range").agg(F.sum("size").alias("words")).withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     within = Window.partitionBy("source_no", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,13 +118,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     """
     spark = docs.sparkSession
     rows = written(sized(docs), "mix-sizes")
-    known = rows.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
+    known = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(known) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     known = sorted(known, key=lambda r: (r.source is None, (r.source or "").encode()))
     sizes = [r.words for r in known]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, limit)
-    table = spark.createDataFrame([(r.source, i, r.words, g) for i, (r, g) in enumerate(zip(known, goal, strict=True))], "_source string, source_no int, source_size bigint, target double")
+    table = spark.createDataFrame([(r.source, i, r.words, g, math.ceil(r.n / RANGE_ROWS)) for i, (r, g) in enumerate(zip(known, goal, strict=True))], "_source string, source_no int, source_size bigint, target double, ranges bigint")
     rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = written(_placed(rows).drop("h"), "mix-placed")
 
@@ -155,6 +155,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
                 key = np.uint64(r.source_no + 1) * np.uint64(1 << 20) + (j // of).astype(np.uint64)
                 yield pd.DataFrame({"shard": r.shard, "slot": r.slot + np.arange(len(j)), "source_no": np.int32(r.source_no), "block": permuted(j % of, np.full(len(j), of), key)})
 
+    # a few rows a shard grow into its slots: deal them out first, to as many tasks as these need
+    drawn = drawn.repartition(max(cores(spark), math.ceil(slots / TASK_SLOTS)), "shard", "source_no")
     return placed, drawn.mapInPandas(place, "shard bigint, slot bigint, source_no int, block bigint")
 
 
@@ -169,7 +171,8 @@ def mixing(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     """One row for each document: (doc_id, size, source_size, target, taken)."""
     placed, slots = mix(docs, weights, share, limit)
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    taken = document_blocks(placed).join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # Spark can't know how many slots a shard's row becomes, so it mustn't take them for small
+    taken = document_blocks(placed).hint("merge").join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # a start is one document's with words and perhaps several's without
     full = placed.where("size > 0").join(taken, ["source_no", "start"], "left")
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
