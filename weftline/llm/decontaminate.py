@@ -8,18 +8,20 @@ item's length, rounded down. Words are compared after lower-casing A-Z.
   to its output and moves the pointer on by a random bit of step and word. Windows at
   a small edit distance get outputs at a small Hamming distance.
 * Windows have the size of the largest class (12, 5) that fits into the item; items of
-  fewer than 5 words are too short to tell and aren't searched. Every window of every
+  fewer than 5 words, or of so few different words that no sample changes often
+  enough, are too plain to tell and aren't searched. Every window of every
   item and every window of every document is embedded, by two walks.
-* Each of 8 tables a walk samples 4 output positions; one equal sample makes a
-  candidate. As every offset within an item is tried, an item is missed only if all
+* Each of 8 tables a walk samples 7 (size 5: 4) output positions; one equal sample
+  makes a candidate. As every offset within an item is tried, an item is missed only if all
   its windows disagree in all tables.
 * Neighbouring candidate windows make one region; its exact semi-global edit distance
   to the item decides.
 
 Document windows go through a fixed-size bitmap of the items' samples (its size
 doesn't depend on the benchmark), and only those that pass are joined to the items.
-Before the walks, windows with fewer than 3 words of the benchmark's vocabulary are
-left out: a sample of 4 positions couldn't be equal in a way that leads to a match.
+Before the walks, windows are left out that have fewer words of the benchmark's
+vocabulary than a window with its share of the allowed edits must have: 9 of 12, or 4
+of 5. Some window of every leak has at most that share.
 
 Defined results: null or empty texts and items match nothing; a null doc_id is
 reported as null; rows of one doc_id report their smallest distance; repeated items
@@ -40,10 +42,14 @@ from weftline.llm import tokens
 from weftline.llm.common import by_size, odd_constants, signed, splitmix, text_bytes, written
 
 SIZES = (12, 5)
-WALKS, TABLES, SAMPLED = 2, 8, 4
+WALKS, TABLES = 2, 8
+SAMPLED = {12: 7, 5: 4}  # outputs by size
 FILTER_BITS = 24
 ALLOWED = 4  # one edit for so many words
-LEAST_KNOWN = 3
+LEAST_CHANGES = {12: 3, 5: 1}
+NO_KEY = np.uint64(0)
+#: Words of the benchmark's vocabulary that a window must have: all but a share of one edit for ALLOWED words.
+LEAST_KNOWN = {size: size - size // ALLOWED for size in SIZES}
 
 _WALK = odd_constants(WALKS, 21)
 
@@ -51,18 +57,24 @@ _WALK = odd_constants(WALKS, 21)
 def _plan(size: int) -> list[list[np.ndarray]]:
     """The output positions that each table of each walk samples."""
     rng = np.random.default_rng(size)
-    return [[np.sort(rng.choice(3 * size // 2, SAMPLED, replace=False)) for _ in range(TABLES)] for _ in range(WALKS)]
+    return [[np.sort(rng.choice(3 * size // 2, SAMPLED[size], replace=False)) for _ in range(TABLES)] for _ in range(WALKS)]
 
 
 def samples(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """The sampled outputs, hashed, of the windows of ``size`` words that begin at ``at``: a column a table."""
+    """The sampled outputs, hashed, of the windows of ``size`` words that begin at ``at``: a column a table.
+
+    A walk may stay on a frequent word; a sample in which the word changes too seldom
+    tells nothing and is NO_KEY, for items and documents alike.
+    """
     keys = np.empty((len(at), WALKS * TABLES), np.uint64)
     step_type = np.uint64
     for walk, tables in enumerate(_plan(size)):
         coins = splitmix(hashes ^ _WALK[walk])
         pointer = at.copy()
-        mult = odd_constants(TABLES * SAMPLED, 100 * size + walk)
+        mult = odd_constants(TABLES * SAMPLED[size], 100 * size + walk)
         sums = np.zeros((TABLES, len(at)), np.uint64)
+        latest = np.zeros((TABLES, len(at)), np.uint64)
+        changes = np.full((TABLES, len(at)), -1, np.int8)
         wanted: dict[int, list[tuple[int, int]]] = {}
         for t, steps in enumerate(tables):
             for k, j in enumerate(steps):
@@ -74,10 +86,13 @@ def samples(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
                 if j >= size:
                     word = np.where(pointer - at < size, word, step_type(0))
                 for t, k in wanted[j]:
-                    sums[t] += word * mult[t * SAMPLED + k]
+                    sums[t] += word * mult[t * SAMPLED[size] + k]
+                    changes[t] += word != latest[t]
+                    latest[t] = word
             pointer = pointer + ((coins[inside] >> step_type(j)) & step_type(1)).astype(np.int64)
         for t in range(TABLES):
-            keys[:, walk * TABLES + t] = splitmix(sums[t] + mult[t * SAMPLED] + step_type(size))
+            key = splitmix(sums[t] + mult[t * SAMPLED[size]] + step_type(size))
+            keys[:, walk * TABLES + t] = np.where(changes[t] >= LEAST_CHANGES[size], key, NO_KEY)
     return keys
 
 
@@ -112,7 +127,7 @@ def item_keys(items: DataFrame) -> DataFrame:
                     rows["item_id"].append(batch.column("item_id")[int(d)].as_py())
                     rows["size"].append(size)
                     rows["words"].append(signed(w.hashes[w.first[d] : w.first[d + 1]]).tolist())
-                    rows["keys"].append(signed(np.unique(keys[w.text[at] == d])).tolist())
+                    rows["keys"].append(signed(np.setdiff1d(keys[w.text[at] == d], NO_KEY)).tolist())
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]))
 
     return items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(run, "item_id bigint, size int, words array<bigint>, keys array<bigint>")
@@ -166,11 +181,11 @@ def regions(docs: DataFrame, sizes: list[int], longest: int, key_bits: bytes, wo
                 found_at, found_key = [], []
                 for size in sizes:
                     at = _windows(w, size)
-                    at = at[known[at + size] - known[at] >= LEAST_KNOWN]
+                    at = at[known[at + size] - known[at] >= LEAST_KNOWN[size]]
                     for low in range(0, len(at), 1 << 15):
                         some = at[low : low + (1 << 15)]
                         keys = samples(w.hashes, some, size)
-                        row, table = np.nonzero(_in(key_flags, keys.ravel(), bits).reshape(keys.shape))
+                        row, table = np.nonzero((keys != NO_KEY) & _in(key_flags, keys.ravel(), bits).reshape(keys.shape))
                         found_at.append(some[row])
                         found_key.append(keys[row, table])
                 if not found_at or not sum(map(len, found_at)):
