@@ -5,8 +5,8 @@ sequence as one). Two documents are linked if 100 * |intersection| is at least
 75 * |union|. Steps:
 
 1. one pass over the texts gives each row its set size, a 128-bit fingerprint of
-   the set, band keys of 5 of 200 MinHash values each, and an odd sketch: a bitmap
-   in which each MinHash value flips one bit;
+   the set, band keys of 7 of 448 MinHash values each, and two odd sketches: bitmaps
+   in which each MinHash value, or each element of the set, flips one bit;
 2. rows of equal fingerprint are one class, with its smallest doc_id as
    representative; only representatives go on;
 3. a bucket is the representatives that share a band key. Each is paired with the
@@ -18,8 +18,9 @@ sequence as one). Two documents are linked if 100 * |intersection| is at least
    group of n near copies costs n pairs, and no pair that could join two
    components is left out.
 
-A pair of similarity 0.75 shares no band with probability 2e-5, of 0.8 with 1e-7.
-The sketch bound (an estimate under 0.5) lies over six deviations below 0.75.
+A pair of similarity 0.75 shares no band with probability 1e-4, of 0.78 with 4e-6, of
+0.8 with 3e-7; seven values a band keep documents that only share a passage apart. The
+sketch bound (an estimate under 0.62) lies five deviations below 0.75.
 
 Defined results: null or wordless texts have an empty set and no links; a null
 doc_id has no links and a null component, and is kept; rows of equal doc_id are one
@@ -42,9 +43,9 @@ from weftline.llm.components import components
 
 RUN = 5
 PERCENT = 75
-BANDS, ROWS = 40, 5
-SKETCH_WORDS = 8  # of 64 bits
-LEAST_ESTIMATE = 0.5
+BANDS, ROWS = 64, 7
+SKETCH_WORDS, PARITY_WORDS = 16, 32  # of 64 bits
+LEAST_ESTIMATE = 0.62
 
 _MULTIPLIERS = odd_constants(BANDS * ROWS, 1)
 _BAND = odd_constants(BANDS, 2)
@@ -77,10 +78,10 @@ def _sequence(hashes: np.ndarray) -> np.uint64:
 
 
 def _signatures(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Fingerprints, band keys and odd sketches of the non-empty sets."""
+    """Fingerprints, band keys and odd sketches (of the MinHash values, of the set itself) of the non-empty sets."""
     full = np.flatnonzero(np.diff(begin))
     if not len(full):
-        return full, np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, SKETCH_WORDS), np.uint64)
+        return full, *(np.zeros((0, width), np.uint64) for width in (2, BANDS, SKETCH_WORDS, PARITY_WORDS))
     at = begin[full]
     prints = np.stack([np.add.reduceat(splitmix(h ^ np.uint64(s)), at) for s in (5, 6)], axis=1)
     least = np.empty((len(full), BANDS * ROWS), np.uint64)
@@ -94,7 +95,11 @@ def _signatures(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
     sketch = np.zeros((len(full), 64 * SKETCH_WORDS), np.uint8)
     np.add.at(sketch, (np.arange(len(full))[:, None], bits.astype(np.int64)), 1)
     packed = np.packbits(sketch & 1, axis=1, bitorder="little").view(np.uint64)
-    return full, prints, keys, packed
+    parity = np.zeros((len(full), PARITY_WORDS), np.uint64)
+    place = splitmix(h ^ np.uint64(9)) % np.uint64(64 * PARITY_WORDS)
+    row = np.repeat(np.arange(len(full)), np.diff(begin)[full])
+    np.bitwise_xor.at(parity, (row, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    return full, prints, keys, packed, parity
 
 
 def _lists(rows: int, full: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -105,19 +110,19 @@ def _lists(rows: int, full: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, f1, f2, bands, sketch) of a table (doc_id, text)."""
+    """Rows (doc_id, n, f1, f2, bands, sketch, parity) of a table (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_size(batch, "text", 1 << 20):
                 h, begin = _sets(part.column("text"))
-                full, prints, keys, sketch = _signatures(h, begin)
+                full, prints, keys, sketch, parity = _signatures(h, begin)
                 f = np.zeros((part.num_rows, 2), np.uint64)
                 f[full] = prints
-                columns = [part.column("doc_id"), pa.array(np.diff(begin)), pa.array(signed(f[:, 0].copy())), pa.array(signed(f[:, 1].copy())), _lists(part.num_rows, full, keys), _lists(part.num_rows, full, sketch)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "bands", "sketch"])
+                columns = [part.column("doc_id"), pa.array(np.diff(begin)), pa.array(signed(f[:, 0].copy())), pa.array(signed(f[:, 1].copy())), _lists(part.num_rows, full, keys), _lists(part.num_rows, full, sketch), _lists(part.num_rows, full, parity)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "bands", "sketch", "parity"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>, parity array<bigint>")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -146,16 +151,31 @@ def _most_differing() -> int:
     return math.floor(m / 2 * (1 - math.exp(4 * k / m * (LEAST_ESTIMATE - 1))))
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links among pairs (u, v) of representatives, on full sets; both inputs are read from files."""
-    a = reps.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u"))
-    b = reps.select(F.col("doc_id").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("s_v"))
-    differing = sum((F.bit_count(F.col("s_u")[i].bitwiseXOR(F.col("s_v")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    likely = pairs.join(a, "u").join(b, "v").where((100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v")) & (differing <= _most_differing()))
-    likely = written(likely.select("u", "v", "n_u", "n_v"), "near-pairs")
-    wanted = likely.select(F.col("u").alias("doc_id")).union(likely.select(F.col("v").alias("doc_id"))).distinct()
+def _likely() -> Column:
+    """Whether sizes and sketches leave it open that u and v are linked.
+
+    The estimate from the MinHash values' odd sketch must reach the bound. The odd sketch
+    of the sets themselves decides without error: no more of its bits differ than the
+    sets have elements apart, which for a link is at most a share of both sizes.
+    """
+    def differing(name: str, words: int) -> Column:
+        return sum((F.bit_count(F.col(f"{name}_u")[i].bitwiseXOR(F.col(f"{name}_v")[i])) for i in range(words)), F.lit(0))
+
+    sizes = 100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v")
+    apart = (100 + PERCENT) * differing("p", PARITY_WORDS) <= (100 - PERCENT) * (F.col("n_u") + F.col("n_v"))
+    return sizes & (differing("s", SKETCH_WORDS) <= _most_differing()) & apart
+
+
+def _side(rows: DataFrame, name: str, *more: Column) -> DataFrame:
+    """The columns that ``_likely`` reads, as those of one side of a pair."""
+    return rows.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"), F.col("parity").alias(f"p_{name}"), *more)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links among pairs (u, v) of representatives, on full sets; pairs are read from files."""
+    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
     full = written(sets(docs.select("doc_id", "text").join(wanted, "doc_id")), "near-sets")
-    both = likely.join(full.select(F.col("doc_id").alias("u"), F.col("runs").alias("r_u")), "u").join(full.select(F.col("doc_id").alias("v"), F.col("runs").alias("r_v")), "v")
+    both = pairs.join(full.select(F.col("doc_id").alias("u"), F.col("runs").alias("r_u")), "u").join(full.select(F.col("doc_id").alias("v"), F.col("runs").alias("r_v")), "v")
     common = F.size(F.array_intersect("r_u", "r_v"))
     return both.where(100 * common >= PERCENT * (F.size("r_u") + F.size("r_v") - common)).select("u", "v")
 
@@ -167,31 +187,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = rows.where("n > 0 AND doc_id IS NOT NULL")
     same = written(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = rows.where("n > 0").join(same.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps.select("doc_id", "n", "bands", "sketch"), "near-representatives")
+    reps = written(reps.select("doc_id", "n", "bands", "sketch", "parity"), "near-representatives")
 
     entries = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
     buckets = written(entries.join(shared, "key"), "near-buckets")
     star = buckets.where("doc_id > hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
-    links = written(_confirmed(star, reps, docs), "near-links")
+    star = written(star.join(_side(reps, "u"), "u").join(_side(reps, "v"), "v").where(_likely()).select("u", "v"), "near-star")
+    links = written(_confirmed(star, docs), "near-links")
 
     # rows of one doc_id that stand in two classes make these one node
     twice = known.select("doc_id", "f1", "f2", "n").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     bridges = known.join(twice, "doc_id", "left_semi").join(same, ["f1", "f2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     bridges = written(bridges, "near-bridges")
 
-    first = written(components(links.union(bridges)), "near-first")
-    placed = buckets.join(first, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    links = links.union(bridges)
+    placed_in = written(components(links), "near-components")
+    placed = buckets.join(placed_in, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = written(placed.join(mixed, "key").join(reps.select("doc_id", "n"), "doc_id"), "near-rest")
-    left = rest.select("key", F.col("doc_id").alias("u"), F.col("c").alias("c_u"), F.col("n").alias("a"))
-    right = rest.select("key", F.col("doc_id").alias("v"), F.col("c").alias("c_v"), F.col("n").alias("b"))
-    across = left.join(right, "key").where((F.col("c_u") > F.col("c_v")) & (100 * F.least("a", "b") >= PERCENT * F.greatest("a", "b"))).select("u", "v").distinct()
-    across = across.join(star, ["u", "v"], "left_anti").join(star.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-    more = written(_confirmed(across, reps, docs), "near-more")
-    final = components(links.union(bridges).union(more)) if more.head(1) else first
-
-    out = rows.join(same, ["f1", "f2", "n"], "left").join(final, F.col("rep") == F.col("node"), "left")
+    rest = written(placed.join(mixed, "key").join(reps.select("doc_id", "n", "sketch", "parity"), "doc_id"), "near-rest")
+    left = _side(rest, "u", F.col("key"), F.col("c").alias("c_u"))
+    right = _side(rest, "v", F.col("key").alias("k"), F.col("c").alias("c_v"))
+    across = left.join(right, (F.col("key") == F.col("k")) & (F.col("c_u") > F.col("c_v")) & _likely()).select("u", "v").distinct()
+    across = across.join(star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v"))), ["u", "v"], "left_anti")
+    more = written(_confirmed(written(across, "near-across"), docs), "near-more")
+    if more.head(1):
+        placed_in = written(components(links.union(more)), "near-components")
+
+    out = rows.join(same, ["f1", "f2", "n"], "left").join(placed_in, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
