@@ -132,8 +132,13 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redire
     by_class = by_node.join(classes, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.bool_or("allows").alias("allows"))
     blocked = by_class.where("NOT allows").select(F.col("component").alias("_blocked"))
 
-    out = judged.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    out = out.join(blocked, F.col("component") == F.col("_blocked"), "left")
+    # both tables grow with the input, so they are merged and never broadcast; only
+    # pages with a node and without a rule of their own depend on the blocked classes
+    named = judged.where("node IS NOT NULL").join(classes.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nameless = judged.where("node IS NULL").withColumn("component", F.lit(None).cast("string"))
+    ruled = named.where("best IS NOT NULL").unionByName(nameless).withColumn("_blocked", F.lit(None).cast("string"))
+    open_ = named.where("best IS NULL").join(blocked.hint("merge"), F.col("component") == F.col("_blocked"), "left")
+    out = ruled.unionByName(open_)
     verdict = F.coalesce(F.col("best.action"), F.when(F.col("_blocked").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "component")
 
