@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -101,6 +102,17 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, by a hash of doc_id that is the same in every run.
+
+    The share to keep follows from a count, so that hardly more than ``most`` rows are
+    ever sorted, however many partitions there are.
+    """
+    share = min(1.0, most / max(1, rows.count()))
+    place = F.xxhash64(F.lit(7), "doc_id")
+    return rows.where(place.cast("double") / 2.0**64 + 0.5 <= share).orderBy(place, "doc_id").limit(most)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -1,7 +1,7 @@
 """Document scores learned from preferences: Bradley-Terry on feature differences.
 
 One pass over the texts gives each document a few features, all read from the text
-itself. Labelled documents (a bounded sample, the smallest by a hash) make preference
+itself. Labelled documents (a bounded sample, chosen by a hash) make preference
 pairs, a good one over a bad one; the Bradley-Terry model says that a document with
 score s wins over one with score t with probability 1 / (1 + exp(t - s)). Scores are
 linear in the features, so this is logistic loss on the differences of two feature
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import tokens
-from weftline.llm.common import by_size, text_bytes, written
+from weftline.llm.common import bounded_sample, by_size, text_bytes, written
 
 #: Labelled documents that the model is fitted on, at most.
 MAX_SAMPLE = 20_000
@@ -141,9 +141,10 @@ def fit(x: np.ndarray, good: np.ndarray) -> Model:
 
 
 def sample(rows: DataFrame, labels: DataFrame, label: str, learns: Column) -> DataFrame:
-    """At most MAX_SAMPLE labelled rows of ``rows``, those of the smallest hashes of doc_id."""
+    """At most MAX_SAMPLE labelled rows of ``rows``, chosen by a hash of doc_id."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_label"))
-    return rows.where(learns).join(known, "doc_id").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(MAX_SAMPLE)
+    known = bounded_sample(known.where(learns), MAX_SAMPLE)
+    return rows.join(known, "doc_id").orderBy("doc_id", "x").limit(MAX_SAMPLE)
 
 
 def remainder(n: int) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import tokens
-from weftline.llm.common import by_size, cut, signed, splitmix, text_bytes, written
+from weftline.llm.common import bounded_sample, by_size, cut, signed, splitmix, text_bytes, written
 from weftline.llm.quality_score import remainder
 
 #: Labelled documents that the model is fitted on, and bytes of each one's text, at most.
@@ -114,7 +114,7 @@ def fit(feature: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, toxic: np
 def _sample(docs: DataFrame, labels: DataFrame, learns: Column) -> DataFrame:
     """Rows (toxic, text) of a bounded sample of labelled documents, kept in the shared folder."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(learns).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(MAX_SAMPLE).withColumnRenamed("doc_id", "_id")
+    known = bounded_sample(known.where(learns), MAX_SAMPLE).withColumnRenamed("doc_id", "_id")
     texts = docs.where(F.octet_length("text") <= MAX_TEXT).join(F.broadcast(cut(known)), F.col("doc_id") == F.col("_id"))
     return written(texts.select("toxic", "text"), "toxicity-sample")
 
