@@ -224,3 +224,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4])) END AS g FROM t),
+n AS (SELECT r, doc_id, len(g)::BIGINT AS n FROM s),
+e AS (SELECT r, unnest(g) AS g FROM s),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT x.doc_id AS u, y.doc_id AS v FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach(a, b) AS (SELECT DISTINCT doc_id, doc_id FROM n UNION SELECT reach.a, ways.v FROM reach JOIN ways ON reach.b = ways.u),
+first AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept FROM n LEFT JOIN first ON a = doc_id"""

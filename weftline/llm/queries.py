@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.SQL, "op5_warc": warc.SQL, "op10_quality_rules": quality_rules.SQL}
+    return {"op1_url_filter": url_filter.SQL, "op2_secret_scan": secret_scan.SQL, "op9_near_dedup": near_dedup.SQL, "op5_warc": warc.SQL, "op10_quality_rules": quality_rules.SQL}

@@ -166,3 +166,39 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
+
+
+def _sql() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def found(pattern: str, group: int, least: int, kind: str, rank: int) -> str:
+        """Spans of one kind: a match starts after all pieces before it and all earlier matches."""
+        p = quoted(pattern)
+        start = "CAST(coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT)"
+        return (
+            f"SELECT r, {rank} AS rank, '{kind}' AS kind, {start} AS a, {start} + length(ms[i]) AS z, ms[i] AS value FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM "
+            f"(SELECT r, regexp_extract_all(body, {p}, 0) AS ms, regexp_extract_all(body, {p}, {group}) AS vs, string_split_regex(body, {p}) AS ps FROM t)) WHERE length(vs[i]) >= {least}"
+        )
+
+    base = " UNION ALL ".join(found(p, g, least, kind, KINDS.index(kind)) for kind, (p, g, least) in BASE.items())
+    allowed = " OR ".join(f"regexp_matches(value, {quoted(p)})" for p in ALLOW_LIST)
+    is_hex = "regexp_matches(value, '^[0-9a-fA-F]+$')"
+    bits = f"list_max(list_transform(range(1, length(value) - {WINDOW - 2}), lambda i: list_entropy(string_split(substr(value, i, {WINDOW}), ''))))"
+    names = list(CLASSES)
+    text = "coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce("text", '') AS body FROM documents),
+base AS ({base}),
+candidates AS ({found(CANDIDATE, 0, WINDOW, "", 0)}),
+apart AS (SELECT * FROM candidates c WHERE NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.a < c.z AND c.a < b.z)),
+method AS (SELECT r, CASE WHEN {is_hex} THEN {KINDS.index(names[0])} ELSE {KINDS.index(names[1])} END AS rank, CASE WHEN {is_hex} THEN '{names[0]}' ELSE '{names[1]}' END AS kind, a, z, value
+  FROM apart WHERE {bits} >= CASE WHEN {is_hex} THEN {CLASSES[names[0]][1]} ELSE {CLASSES[names[1]][1]} END),
+b AS (SELECT r, {counts}, {text} AS base_spans FROM base GROUP BY r),
+s AS (SELECT r, {text} AS spans, count(*) AS n FROM (SELECT * FROM base UNION ALL SELECT * FROM method) GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  (coalesce(n, 0) - {" - ".join(f"coalesce(n_{k}, 0)" for k in BASE)})::BIGINT AS n_entropy FROM t LEFT JOIN b USING (r) LEFT JOIN s USING (r)"""
+
+
+SQL = _sql()
