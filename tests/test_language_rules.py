@@ -79,3 +79,12 @@ def test_files(spark, tmp_path):
     (tmp_path / "f.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
     got = files.read_geojson(spark, str(tmp_path / "f.geojson")).select("n", geo.as_text(F.col("geometry")).alias("w")).collect()
     assert [r.w for r in sorted(got)] == ["POINT (1 2)", "POLYGON ((0 0, 0 1, 1 1, 0 0))", None]
+    again = files.geojson_features(files.read_geojson(spark, str(tmp_path / "f.geojson"))).collect()
+    again = [json.loads(r.value) for r in again]
+    assert [f["geometry"] for f in sorted(again, key=lambda f: f["properties"]["n"])] == [f["geometry"] for f in features]
+
+
+@pytest.mark.parametrize(("wkt", "coordinates"), [("MULTIPOINT (1 2, 3 4)", [[1, 2], [3, 4]]), ("MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))", [[[0, 0], [1, 1]], [[2, 2], [3, 3]]]), ("MULTIPOLYGON (((0 0, 0 1, 1 1, 0 0)))", [[[[0, 0], [0, 1], [1, 1], [0, 0]]]])])
+def test_geojson(spark, wkt, coordinates):
+    got = json.loads(one(spark, geo.as_geojson(geo.from_text(F.lit(wkt)))))
+    assert got["coordinates"] == coordinates and got["type"].upper() == wkt.split()[0]

@@ -140,6 +140,21 @@ def as_text(g: Column) -> Column:
     return F.concat(g["kind"], F.lit(" ("), body, F.lit(")"))
 
 
+def as_geojson(g: Column) -> Column:
+    """A GeoJSON object as text; coordinates nest as deep as the kind needs."""
+    pairs = F.transform(g["shapes"], lambda s: F.transform(s, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+    coordinates = (
+        F.when(g["kind"] == "POINT", F.to_json(pairs[0][0][0]))
+        .when(g["kind"] == "LINESTRING", F.to_json(pairs[0][0]))
+        .when(g["kind"] == "POLYGON", F.to_json(pairs[0]))
+        .when(g["kind"] == "MULTIPOINT", F.to_json(F.flatten(F.flatten(pairs))))
+        .when(g["kind"] == "MULTILINESTRING", F.to_json(F.flatten(pairs)))
+        .otherwise(F.to_json(pairs))
+    )
+    kinds = F.create_map(*(F.lit(x) for name in ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon") for x in (name.upper(), name)))
+    return F.concat(F.lit('{"type":"'), kinds[g["kind"]], F.lit('","coordinates":'), coordinates, F.lit("}"))
+
+
 def _to_mercator(p: Column) -> tuple[Column, Column]:
     return F.radians(p["x"]) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(p["y"]) / 2)) * RADIUS
 

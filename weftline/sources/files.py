@@ -106,6 +106,15 @@ def write_json(rows: DataFrame, path: str) -> None:
     as_texts(rows).write.json(path)
 
 
+def geojson_features(rows: DataFrame, column: str = "geometry") -> DataFrame:
+    """A text column, ``value``, with a GeoJSON feature for each row; other columns are its properties, as text."""
+    others = [c for c in rows.columns if c != column]
+    as_text = (F.col(f"`{c}`").cast("string").alias(c) for c in others)
+    properties = F.to_json(F.struct(*as_text), {"ignoreNullFields": "false"}) if others else F.lit("{}")
+    shape = F.coalesce(geometry.as_geojson(F.col(f"`{column}`")), F.lit("null"))
+    return rows.select(F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), properties, F.lit("}")).alias("value"))
+
+
 def write_xml(rows: DataFrame, path: str) -> None:
     """``<root><row a="..."/></root>``; attribute names without characters that aren't word characters."""
     text = as_texts(rows)
