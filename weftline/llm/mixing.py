@@ -161,7 +161,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def document_blocks(placed: DataFrame) -> DataFrame:
-    """Rows (row, source_no, block, words): which words of which block each document has."""
+    """Rows (source_no, start, block, words): which words of which block each document has."""
     spans = placed.where("size > 0").select("doc_id", "source_no", "start", "size", F.expr(f"explode(sequence(start DIV {BLOCK}, (start + size - 1) DIV {BLOCK}))").alias("block"))
     low, high = F.greatest(F.col("start"), F.col("block") * BLOCK), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
     return spans.select("source_no", "start", "block", (high - low).alias("words"))
