@@ -61,3 +61,34 @@ def test_edges(spark):
     assert kept.columns == docs.columns and sorted(repr(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "None"]
     for d, i in ((docs.where("false"), items), (docs, items.where("false")), (docs, items.where("item_id = 3"))):
         assert dec.leaks(d, i).count() == 0 and dec.without_leaks(d, i).count() == d.count()
+
+
+def replaced(spark, cases, each):
+    """The share found, by case, of items (length, places) leaked with new words at these places (None: random ones, n // 4)."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10))
+    docs, items, of = [], [], {}
+    for case, (n, places) in enumerate(cases):
+        for _ in range(each):
+            item = [word() for _ in range(n)]
+            put = places if places is not None else rng.sample(range(n), n // dec.ALLOWED)
+            leaked = [word() if i in put else w for i, w in enumerate(item)]
+            of[len(items)] = case
+            docs.append((len(items), " ".join([*(word() for _ in range(30)), *leaked, *(word() for _ in range(30))])))
+            items.append((len(items), " ".join(item)))
+    got = dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r.doc_id == r.item_id for r in got)
+    return [sum(of[r.item_id] == c for r in got) / each for c in range(len(cases))]
+
+
+def test_edits_in_the_middle(spark):
+    """Edits that stand in every window of an item at once."""
+    found = replaced(spark, [(16, {5, 7, 9, 11}), (20, {1, 8, 9, 10, 11}), (8, {3, 4}), (32, {8, 9, 10, 11, 20, 21, 22, 23})], 40)
+    assert all(found)
+
+
+def test_allowed_edits_leave_a_run():
+    for n in range(min(dec.SIZES), 2000):
+        size = max(s for s in dec.SIZES if s <= n)
+        edits = n // dec.ALLOWED
+        assert -((edits - n) // (edits + 1)) >= dec.KEPT_RUN[size]

@@ -19,9 +19,10 @@ item's length, rounded down. Words are compared after lower-casing A-Z.
 
 Document windows go through a fixed-size bitmap of the items' samples (its size
 doesn't depend on the benchmark), and only those that pass are joined to the items.
-Before the walks, windows are left out that have fewer words of the benchmark's
-vocabulary than a window with its share of the allowed edits must have: 9 of 12, or 4
-of 5. Some window of every leak has at most that share.
+Before the walks, windows are left out that have no run of 3 (size 5: 2) consecutive
+words of some item nearby. This loses no leak: at most n // 4 edits leave n - n // 4 of an
+item's n words in at most n // 4 + 1 runs, so that one has 3 words or more if n is 12 or
+more, and 2 if n is 5 or more. All windows within two sizes of the run are walked.
 
 Defined results: null or empty texts and items match nothing; a null doc_id is
 reported as null; rows of one doc_id report their smallest distance; repeated items
@@ -48,8 +49,8 @@ FILTER_BITS = 24
 ALLOWED = 4  # one edit for so many words
 LEAST_CHANGES = {12: 3, 5: 1}
 NO_KEY = np.uint64(0)
-#: Words of the benchmark's vocabulary that a window must have: all but a share of one edit for ALLOWED words.
-LEAST_KNOWN = {size: size - size // ALLOWED for size in SIZES}
+#: Consecutive words that the allowed edits leave together somewhere in every item of a size class.
+KEPT_RUN = {12: 3, 5: 2}
 
 _WALK = odd_constants(WALKS, 21)
 
@@ -110,27 +111,46 @@ def _class_of(n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(w: tokens.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs that stand for a size class, and where they begin."""
+    h, at = tokens.runs_of(w, KEPT_RUN[size])
+    return splitmix(h + np.uint64(size)), at
+
+
+def _near(w: tokens.Words, size: int, at: np.ndarray, flags: np.ndarray, bits: int) -> np.ndarray:
+    """The windows within two sizes of which a run of some item of the size class begins."""
+    h, begins = _runs(w, size)
+    found = np.zeros(len(w.hashes), np.int64)
+    found[begins[_in(flags, h, bits)]] = 1
+    before = np.concatenate([[0], np.cumsum(found)])
+    low = np.maximum(at - 2 * size, w.first[w.text[at]])
+    high = np.minimum(at + 3 * size, w.first[w.text[at] + 1])
+    return at[before[high] > before[low]]
+
+
 def item_keys(items: DataFrame) -> DataFrame:
-    """Rows (item_id, size, words, keys) for the items that are long enough."""
+    """Rows (item_id, size, words, runs, keys) for the items that are long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             w = tokens.words(data, offsets)
             sizes = _class_of(np.diff(w.first))
-            rows = {"item_id": [], "size": [], "words": [], "keys": []}
+            rows = {"item_id": [], "size": [], "words": [], "runs": [], "keys": []}
             for size in SIZES:
                 at = _windows(w, size)
                 at = at[sizes[w.text[at]] == size]
                 keys = samples(w.hashes, at, size)
+                runs, begins = _runs(w, size)
                 for d in np.unique(w.text[at]):
                     rows["item_id"].append(batch.column("item_id")[int(d)].as_py())
                     rows["size"].append(size)
                     rows["words"].append(signed(w.hashes[w.first[d] : w.first[d + 1]]).tolist())
+                    rows["runs"].append(signed(np.unique(runs[w.text[begins] == d])).tolist())
                     rows["keys"].append(signed(np.setdiff1d(keys[w.text[at] == d], NO_KEY)).tolist())
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("words", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]))
 
-    return items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(run, "item_id bigint, size int, words array<bigint>, keys array<bigint>")
+    return items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(run, "item_id bigint, size int, words array<bigint>, runs array<bigint>, keys array<bigint>")
 
 
 def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,23 +185,21 @@ def _in(flags: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     return hit
 
 
-def regions(docs: DataFrame, sizes: list[int], longest: int, key_bits: bytes, word_bits: bytes, bits: int) -> DataFrame:
+def regions(docs: DataFrame, sizes: list[int], longest: int, key_bits: bytes, run_bits: bytes, bits: int) -> DataFrame:
     """Rows (doc_id, region, words, keys): stretches around windows that share a sample with some item."""
-    keys_at = docs.sparkSession.sparkContext.broadcast((key_bits, word_bits))
+    keys_at = docs.sparkSession.sparkContext.broadcast((key_bits, run_bits))
     reach = longest + longest // ALLOWED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_flags, word_flags = (np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for x in keys_at.value)
+        key_flags, run_flags = (np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for x in keys_at.value)
         schema = pa.schema([("doc_id", pa.int64()), ("region", pa.int64()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
         for batch in batches:
             for part in by_size(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
                 w = tokens.words(data, offsets)
-                known = np.concatenate([[0], np.cumsum(_in(word_flags, w.hashes, bits))])
                 found_at, found_key = [], []
                 for size in sizes:
-                    at = _windows(w, size)
-                    at = at[known[at + size] - known[at] >= LEAST_KNOWN[size]]
+                    at = _near(w, size, _windows(w, size), run_flags, bits)
                     for low in range(0, len(at), 1 << 15):
                         some = at[low : low + (1 << 15)]
                         keys = samples(w.hashes, some, size)
@@ -230,7 +248,7 @@ def leaks(docs: DataFrame, items: DataFrame, filter_bits: int = FILTER_BITS) ->
     if shape["longest"] is None:
         return known.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, item_words int, edits int")
     by_key = known.select(F.explode("keys").alias("key"), "item_id", "size").distinct()
-    packed = [np.packbits(bitmap(x, filter_bits)).tobytes() for x in (by_key.select("key"), known.select(F.explode("words").alias("key")).distinct())]
+    packed = [np.packbits(bitmap(x, filter_bits)).tobytes() for x in (by_key.select("key"), known.select(F.explode("runs").alias("key")).distinct())]
     found = written(regions(docs, sorted(shape["sizes"]), shape["longest"], packed[0], packed[1], filter_bits), "leak-regions")
     pairs = found.select("doc_id", "region", F.explode("keys").alias("key")).join(by_key.select("key", "item_id"), "key").select("doc_id", "region", "item_id").distinct()
     words = known.select("item_id", F.col("words").alias("item"))
