@@ -92,3 +92,10 @@ def test_allowed_edits_leave_a_run():
         size = max(s for s in dec.SIZES if s <= n)
         edits = n // dec.ALLOWED
         assert -((edits - n) // (edits + 1)) >= dec.KEPT_RUN[size]
+
+
+def test_recall_at_the_most_edits(spark):
+    """The stated recall, by length, with all the edits that are allowed."""
+    lengths = [5, 6, 8, 11, 12, 15, 16, 20, 23, 24, 32]
+    found = replaced(spark, [(n, None) for n in lengths], 100)
+    assert all(share >= dec.TARGET for share in found), dict(zip(lengths, found, strict=True))
