@@ -99,3 +99,12 @@ def test_recall_at_the_most_edits(spark):
     lengths = [5, 6, 8, 11, 12, 15, 16, 20, 23, 24, 32]
     found = replaced(spark, [(n, None) for n in lengths], 100)
     assert all(share >= dec.TARGET for share in found), dict(zip(lengths, found, strict=True))
+
+
+def test_plain_items(spark):
+    """Items of one or two words over and over, their copies and copies with edits."""
+    texts = ["na " * 5, "ho " * 12, "la " * 30, "ding dong " * 6, "tick tick tock " * 5]
+    filler = " ".join(f"x{i}" for i in range(40))
+    docs = [(i, f"{filler} {t} {filler}") for i, t in enumerate(texts)] + [(10, f"{filler} ho ho ho y ho ho ho z ho ho ho ho {filler}")]
+    got = dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.edits for r in got} == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 4): 0, (10, 1): 2}

@@ -8,8 +8,7 @@ item's length, rounded down. Words are compared after lower-casing A-Z.
   to its output and moves the pointer on by a random bit of step and word. Windows at
   a small edit distance get outputs at a small Hamming distance.
 * Windows have the size of the largest class (12, 5) that fits into the item; items of
-  fewer than 5 words, or of so few different words that no sample changes often
-  enough, are too plain to tell and aren't searched. Every window of every
+  fewer than 5 words are too short to tell and aren't searched. Every window of every
   item and every window of every document is embedded, by eight walks.
 * Each of 8 tables a walk samples 4 (size 5: 3) output positions; one equal sample
   makes a candidate. As every offset within an item is tried, an item is missed only if all
@@ -65,13 +64,27 @@ def _plan(size: int) -> list[list[np.ndarray]]:
     return [[np.sort(rng.choice(3 * size // 2, SAMPLED[size], replace=False)) for _ in range(TABLES)] for _ in range(WALKS)]
 
 
+def _different(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """How many different words the windows have."""
+    n = np.ones(len(at), np.int64)
+    for j in range(1, size):
+        word = hashes[at + j]
+        fresh = np.ones(len(at), bool)
+        for i in range(j):
+            fresh &= hashes[at + i] != word
+        n += fresh
+    return n
+
+
 def samples(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """The sampled outputs, hashed, of the windows of ``size`` words that begin at ``at``: a column a table.
 
     A walk may stay on a frequent word; a sample in which the word changes too seldom
-    tells nothing and is NO_KEY, for items and documents alike.
+    tells nothing and is NO_KEY, for items and documents alike. Windows in which at most
+    half of the words are different have no better samples and keep all.
     """
     keys = np.empty((len(at), WALKS * TABLES), np.uint64)
+    plain = _different(hashes, at, size) <= size // 2
     step_type = np.uint64
     for walk, tables in enumerate(_plan(size)):
         coins = splitmix(hashes ^ _WALK[walk])
@@ -97,7 +110,7 @@ def samples(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
             pointer = pointer + ((coins[inside] >> step_type(j)) & step_type(1)).astype(np.int64)
         for t in range(TABLES):
             key = splitmix(sums[t] + mult[t * SAMPLED[size]] + step_type(size))
-            keys[:, walk * TABLES + t] = np.where(changes[t] >= LEAST_CHANGES[size], key, NO_KEY)
+            keys[:, walk * TABLES + t] = np.where(plain | (changes[t] >= LEAST_CHANGES[size]), key, NO_KEY)
     return keys
 
 
