@@ -67,3 +67,17 @@ def test_chunked_framing():
     for broken in (b"", b"5\r\nabc\r\n0\r\n\r\n", b"zz\r\n", b"3\r\nabc\r\n"):
         with pytest.raises(ValueError):
             warc.dechunked(broken)
+
+
+def test_repeated_page_ids(spark, tmp_path):
+    """Rows of one page_id, or of none, whose blocks are cut into segments."""
+    big, other = "b" * 80_000, "o" * 90_000
+    rows = [(1, "u", big), (1, "u", big), (1, "v", other), (2, "u", other), (2, "u", other + "x"), (None, "u", big), (None, "u", big), (None, None, other), (0, "u", big), (-5, "u", other)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert sorted(map(tuple, warc.round_trip(frame).collect()), key=repr) == want(rows)
+    warc.write_archives(frame, str(tmp_path / "w"))
+    data = b"".join(gzip.open(f).read() for f in glob.glob(str(tmp_path / "w" / "*.gz")))
+    ids = [line for line in data.split(b"\r\n") if line.startswith(b"WARC-Record-ID: ")]
+    assert len(set(ids)) == len(ids)
+    referred = {line.split(b": ")[1] for line in data.split(b"\r\n") if line.startswith(b"WARC-Refers-To: ") and b":2:" in line}
+    assert referred and referred <= {i.split(b": ")[1] for i in ids}

@@ -6,6 +6,9 @@ A response's block is an HTTP response in chunked transfer framing. A block of m
 ``SEGMENT`` bytes is cut: the first part stands in the response record, the others in
 continuation records. Spark's text writer makes the archives, with the end of a record
 as its separator; files hold at most ``RECORDS`` records, so a file's size is bounded.
+Every row has a record id of its own, whatever its page_id. The one that revisits refer
+to is made of page_id and digest; where rows equal in both repeat, their ids are made of
+row numbers and the reference names only what they have in common.
 
 Reading: a task parses one archive at a time, record by record. Whole records are
 decoded at once; parts are grouped by origin identifier, ordered by segment number,
@@ -69,13 +72,18 @@ def _head(kind: str, record_id: str, fields: list[tuple[str, str | None]], lengt
     return ("\r\n".join(lines) + END).encode()
 
 
+def _referred(page_id: int, digest: str) -> str:
+    """The record id of the response that revisits refer to."""
+    return f"urn:page:{page_id}:sha1:{digest}"
+
+
 def _records(row_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> Iterator[bytes]:
     """The records of one page, without the blank lines that end them."""
     target = urllib.parse.quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else None
     common = [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", None if page_id is None else str(page_id))]
     if refers_to is not None:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Payload-Length: {len(payload)}{END}".encode()
-        yield _head("revisit", row_id, [*common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("Content-Type", "application/http; msgtype=response")], len(block)) + block
+        yield _head("revisit", row_id, [*common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_referred(refers_to, digest)}>"), ("Content-Type", "application/http; msgtype=response")], len(block)) + block
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + _chunked(payload)
     parts = [block[i : i + SEGMENT] for i in range(0, len(block), SEGMENT)]
@@ -87,7 +95,9 @@ def _records(row_id: str, page_id: int | None, url: str | None, payload: bytes,
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """Rows (n, page_id, url, html, refers_to): refers_to is null for responses.
+    """Rows (page_id, url, html, refers_to, sole, row): refers_to is null for responses.
+
+    ``sole`` is true for the only row of the page that revisits refer to, and ``row`` differs in all rows.
 
     Only digests are grouped; a payload travels only where a digest occurs more than once.
     """
@@ -95,9 +105,11 @@ def planned(pages: DataFrame) -> DataFrame:
     # small payloads get keys that no other page has, so that they spread
     alone = F.concat_ws("-", F.lit("page"), F.coalesce(F.col("page_id").cast("string"), F.xxhash64("url", "html").cast("string")))
     keyed = rows.withColumn("digest", F.when(F.octet_length("html") >= DEDUP_BYTES, F.sha1(F.col("html").cast("binary"))).otherwise(alone))
-    most = keyed.where("digest NOT LIKE 'page-%'").groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 AND last IS NOT NULL")
-    twice = keyed.join(most.select("_digest", "last"), F.col("digest") == F.col("_digest"), "left")
-    return twice.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
+    each = keyed.where("digest NOT LIKE 'page-%'").groupBy(F.col("digest").alias("_digest"), "page_id").agg(F.count("*").alias("n"))
+    most = each.groupBy("_digest").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("n")).where("n > 1 AND top.page_id IS NOT NULL")
+    twice = keyed.join(most.select("_digest", F.col("top.page_id").alias("last"), F.col("top.n").alias("times")), F.col("digest") == F.col("_digest"), "left")
+    sole = F.coalesce((F.col("page_id") == F.col("last")) & (F.col("times") == 1), F.lit(False))
+    return twice.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"), sole.alias("sole"), F.monotonically_increasing_id().alias("row"))
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -108,10 +120,10 @@ def write_archives(pages: DataFrame, path: str) -> None:
         for batch in batches:
             for part in by_size(batch, "html"):
                 out = []
-                for page, url, html, refers in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+                for page, url, html, refers, sole, row in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "sole", "row")), strict=True):
                     payload = html.encode("utf-8", "replace")
                     digest = hashlib.sha1(payload).hexdigest()
-                    row_id = f"urn:page:{page}" if page is not None else f"urn:sha1:{digest}"
+                    row_id = _referred(page, digest) if sole else f"urn:page:{'' if page is None else page}:row:{row}"
                     out += _records(row_id, page, url, payload, digest, refers)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=schema)
 
@@ -143,7 +155,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     number = re.compile(r"\d+")
 
     def of_page(urn: str) -> int | None:
-        return int(urn.rpartition(":")[2].rstrip(">")) if urn.startswith("<urn:page:") else None
+        found = re.match(r"<urn:page:(-?\d+)[:>]", urn)
+        return int(found[1]) if found else None
 
     def row(headers: dict[str, str], block: bytes) -> tuple:
         page, segment, total = (headers.get(k) for k in ("x-page-id", "warc-segment-number", "warc-segment-total-length"))
