@@ -3,6 +3,7 @@ import math
 import random
 import re
 import string
+import time
 
 import pytest
 
@@ -19,9 +20,11 @@ def brute(text):
     text = text or ""
     base = [(m.start(), r, k, m.end()) for r, (k, p, g, least) in enumerate(BASE) for m in p.finditer(text) if len(m.group(g)) >= least]
     every = list(base)
+    for _, p, g, least in (BASE[2], BASE[1], BASE[0]):
+        text = p.sub(lambda m, g=g, least=least: " " * len(m.group()) if len(m.group(g)) >= least else m.group(), text)
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
         value = m.group()
-        if any(b[0] < m.end() and m.start() < b[3] for b in base) or any(re.search(p, value) for p in scan.ALLOW_LIST):
+        if any(re.search(p, value) for p in scan.ALLOW_LIST) or (len(value) <= 64 and re.search(scan.PLACEHOLDER, value)):
             continue
         kind = "entropy_hex" if re.fullmatch("[0-9a-fA-F]+", value) else "entropy_base64"
         best = 0
@@ -41,6 +44,9 @@ def texts():
     out += ["/usr/local/share/something/else/more", "123e4567-e89b-12d3-a456-426614174000", "EXAMPLEkeyEXAMPLEkey" + pick(string.ascii_letters, 20), "thisisaverylongwordwithnothingelse"]
     for _ in range(40):
         out.append(" ".join(rng.choice([pick(string.ascii_letters + string.digits, rng.randint(5, 60)), pick("0123456789abcdef", rng.randint(10, 50)), "wörd", "token: " + pick(string.ascii_letters, rng.randint(4, 12)), "AKIA" + pick(string.ascii_uppercase + string.digits, rng.randint(5, 20)), "\n"]) for _ in range(rng.randint(1, 30))))
+    secret = pick(string.ascii_letters + string.digits, 40)
+    out += [f"AKIA{'Q7' * 8}/{secret}", f"{'0123456789abcdef' * 2}-{secret}", f"é token=abcdefgh1.{secret} {secret}+{secret}=0000", secret * 2 + "1234567", f"secret: {secret}-{'a1' * 20}/{secret}"]
+    out += [" ".join(["token=abcdefgh1", secret, "0123456789abcdef" * 2] * 300)]
     return out + ["x " * 40_000 + pick(string.ascii_letters + string.digits, 400)]
 
 
@@ -62,6 +68,43 @@ def test_empty(spark):
     assert scan.secret_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_redaction_by_spans(spark):
+    """Texts cut by the spans of a scan, also where these overlap, and columns of any name."""
+    rows = [(i, t) for i, t in enumerate(texts())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS spans", "2 AS base_spans", "'x' AS spans_left", "3 AS cuts", "4 AS _spans")
+    out = scan.redacted(docs)
+    assert out.columns == docs.columns
+
+    def want(text):
+        if text is None:
+            return None
+        made, at = "", 0
+        spans = sorted((int(s.split(":")[1]), int(s.split(":")[2])) for s in brute(text)[1].split(",") if s)
+        for a, z in spans:
+            if z > at:
+                made += text[at:a] + ("[secret]" if a >= at else "")
+                at = z
+        return made + text[at:]
+
+    got = out.collect()
+    assert {r.doc_id: r.text for r in got} == {i: want(t) for i, t in rows}
+    assert all((r.spans, r.base_spans, r.spans_left, r.cuts, r["_spans"]) == (1, 2, "x", 3, 4) for r in got)
+
+
+def test_time_is_linear(spark):
+    """A megabyte of base64 in one row, and one of secrets, take seconds."""
+    rng = random.Random(1)
+    long = "".join(rng.choices(string.ascii_letters + string.digits, k=1 << 20))
+    many = " ".join(f"token=abcdefgh{i} {long[i:i + 24]}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, long), (2, many)], "doc_id long, text string")
+    scan.secret_scan(docs.limit(0)).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in scan.secret_scan(docs).collect()}
+    assert time.time() - began < 60
+    assert got[1].spans == f"entropy_base64:0:{1 << 20}" and got[2].n_assign == 20_000
+    assert [r.text for r in scan.redacted(docs.where("doc_id = 1")).collect()] == ["[secret]"]
+
+
 @pytest.mark.parametrize("name", ["mapInArrow", "udf", "pandas"])
 def test_native(name):
     assert name not in open(scan.__file__).read().split('"""')[2]
