@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -23,16 +25,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary
+    folder takes its place if driver and executors are one process, as in tests; on a
+    cluster that is an error, as no local folder is seen by all.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        named = "file://" + tempfile.mkdtemp(prefix="weftline-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weftline-"))
-    return sc.getCheckpointDir().rstrip("/")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+_folders: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, within the innermost ``temporary`` folder if there is one."""
+    return f"{_folders[-1] if _folders else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can write one."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for all tables that are written meanwhile, deleted at the end.
+
+    Results that are read from these tables must be written elsewhere before.
+    """
+    path = scratch(spark, name)
+    _folders.append(path)
+    try:
+        yield path
+    finally:
+        _folders.remove(path)
+        removed(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,10 +81,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Unlike a checkpoint, later steps then read only the columns they need.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return observed(df, name)[0]
+
+
+def observed(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict, str]:
+    """``written``, sums over the rows that are taken on the way, and the path."""
+    spark, path, seen = df.sparkSession, scratch(df.sparkSession, name), {}
+    if sums:
+        watch = Observation()
+        df.observe(watch, *(c.alias(k) for k, c in sums.items())).write.parquet(path)
+        seen = watch.get
+    else:
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), {k: seen.get(k) for k in sums}, path
+
+
+def free_name(stem: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    return next(name for name in (stem + "_" * n for n in range(len(taken) + 1)) if name.lower() not in taken)
+
+
+def of_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is (left_semi) or isn't (left_anti) in the one column of ``ids``."""
+    name = free_name("wanted", docs)
+    return docs.join(ids.toDF(name), F.col("doc_id") == F.col(name), how)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -113,11 +169,6 @@ def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.where(place.cast("double") / 2.0**64 + 0.5 <= share).orderBy(place, "doc_id").limit(most)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def cores(spark: SparkSession) -> int:
     """How many partitions a shuffle has by default here."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", str(os.cpu_count() or 8)))

@@ -5,56 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import observed, removed
 
 
-def _to_smallest(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """One star step.
+def _moved(near: DataFrame, least: DataFrame) -> DataFrame:
+    """Each neighbour v of u with the node m that u's neighbours move to."""
+    return near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
-    Large star: each node's larger neighbours move to its smallest neighbour.
-    Small star: each node and its smaller neighbours move to the smallest.
-    """
-    if larger_only:
-        near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = near.join(least, "u")
-    if larger_only:
-        moved = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return moved.where(F.col("u") != F.col("v")).distinct()
-
-
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours move to its smallest neighbour, or to itself."""
+    near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return _moved(near.where("v > u"), least)
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node (edges go from larger to smaller) and its smaller neighbours move to the smallest of these."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return _moved(edges, least).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of an edge table (u, v).
 
     component is the smallest node that can be reached. Large-star and small-star
-    steps alternate until the edges no longer change; each round is a checkpoint,
-    so that no plan grows and a lost executor costs one round at most. Edges with a
-    null end are ignored; loops keep their node. An empty table gives an empty one.
+    steps alternate until the edges no longer change, however many rounds that takes;
+    it always ends, as edges only ever move to smaller nodes. Each round is written to
+    the shared folder, so that no plan grows and a lost executor costs one round at
+    most; the table of the round before is deleted. Count and hash of the edges are
+    taken while they are written. Edges with a null end are ignored; loops keep their
+    node. An empty table gives an empty one.
     """
-    edges = edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    nodes_alone = edges.where(F.col("u") == F.col("v")).select(F.col("u").alias("node")).distinct()
-    now = cut(edges.where(F.col("u") != F.col("v")).distinct())
-    mark = _mark(now)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
-        now = cut(_to_smallest(_to_smallest(now, True), False))
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError("the components have not settled; raise rounds")
-    joined = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    known = joined.union(roots)
-    alone = nodes_alone.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return known.union(alone)
-
-
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+    sums = {"n": F.count(F.lit(1)), "s": F.bit_xor(F.xxhash64("u", "v")), "loops": F.count_if(F.col("u") == F.col("v"))}
+    named = edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    first, mark, _ = observed(named.distinct(), "edges", **sums)
+    loops, now, before, old = mark["loops"], first.where("u <> v"), None, None
+    while mark["n"] and mark != before:
+        before = mark
+        now, mark, path = observed(_small_star(_large_star(now)), "edges", **sums)
+        if old:
+            removed(now.sparkSession, old)
+        old = path
+    known = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    known = known.union(now.select("v", "v").distinct())
+    if loops:
+        alone = first.where("u = v").select(F.col("u").alias("node")).join(known.select("node"), "node", "left_anti")
+        known = known.union(alone.select("node", F.col("node").alias("component")))
+    return known

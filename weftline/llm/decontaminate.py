@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import tokens
-from weftline.llm.common import by_size, odd_constants, signed, splitmix, text_bytes, written
+from weftline.llm.common import by_size, odd_constants, of_ids, signed, splitmix, text_bytes, written
 
 SIZES = (12, 5)
 TARGET = 0.9  # recall at n // ALLOWED edits, for every length n
@@ -287,5 +287,4 @@ def leaks(docs: DataFrame, items: DataFrame, filter_bits: int = FILTER_BITS) ->
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents into which no item has leaked; rows without doc_id can't be named and stay."""
-    hit = leaks(docs, items).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti").select(*docs.columns)
+    return of_ids(docs, leaks(docs, items).where("doc_id IS NOT NULL").select("doc_id"), "left_anti")

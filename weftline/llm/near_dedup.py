@@ -8,15 +8,15 @@ sequence as one). Two documents are linked if 100 * |intersection| is at least
    the set, band keys of 7 of 448 MinHash values each, and two odd sketches: bitmaps
    in which each MinHash value, or each element of the set, flips one bit;
 2. rows of equal fingerprint are one class, with its smallest doc_id as
-   representative; only representatives go on;
+   representative; only representatives go on, one row of each class;
 3. a bucket is the representatives that share a band key. Each is paired with the
    smallest of its bucket; sizes and odd sketches (the population count of the XOR
    estimates the similarity) drop pairs that can't be links; the others are
    confirmed on the full sets; components of the links follow;
 4. pairs of one bucket that are still in different components are confirmed in the
-   same way. Pairs inside a component need no test, as they can't change it. So a
-   group of n near copies costs n pairs, and no pair that could join two
-   components is left out.
+   same way; from the first components and these links follow the last ones. Pairs
+   inside a component need no test, as they can't change it. So a group of n near
+   copies costs n pairs, and no pair that could join two components is left out.
 
 A pair of similarity 0.75 shares no band with probability 1e-4, of 0.78 with 4e-6, of
 0.8 with 3e-7; seven values a band keep documents that only share a passage apart. The
@@ -24,7 +24,8 @@ sketch bound (an estimate under 0.62) lies five deviations below 0.75.
 
 Defined results: null or wordless texts have an empty set and no links; a null
 doc_id has no links and a null component, and is kept; rows of equal doc_id are one
-node; an empty table gives an empty result; other columns are ignored.
+node, whatever their texts; texts of any length are read whole, the longest in a batch
+of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.llm import tokens
-from weftline.llm.common import by_size, odd_constants, signed, splitmix, text_bytes, written
+from weftline.llm.common import by_size, free_name, observed, odd_constants, of_ids, signed, splitmix, text_bytes, written
 from weftline.llm.components import components
 
 RUN = 5
@@ -119,10 +121,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 full, prints, keys, sketch, parity = _signatures(h, begin)
                 f = np.zeros((part.num_rows, 2), np.uint64)
                 f[full] = prints
-                columns = [part.column("doc_id"), pa.array(np.diff(begin)), pa.array(signed(f[:, 0].copy())), pa.array(signed(f[:, 1].copy())), _lists(part.num_rows, full, keys), _lists(part.num_rows, full, sketch), _lists(part.num_rows, full, parity)]
+                lists = [_lists(part.num_rows, full, x) for x in (keys, sketch, parity)]
+                columns = [part.column("doc_id"), pa.array(np.diff(begin)), *(pa.array(signed(f[:, i].copy())) for i in (0, 1)), *lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "bands", "sketch", "parity"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>, parity array<bigint>")
+    schema = "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>, parity array<bigint>"
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -173,57 +177,71 @@ def _side(rows: DataFrame, name: str, *more: Column) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Links among pairs (u, v) of representatives, on full sets; pairs are read from files."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    full = written(sets(docs.select("doc_id", "text").join(wanted, "doc_id")), "near-sets")
-    both = pairs.join(full.select(F.col("doc_id").alias("u"), F.col("runs").alias("r_u")), "u").join(full.select(F.col("doc_id").alias("v"), F.col("runs").alias("r_v")), "v")
+    wanted = pairs.select("u").union(pairs.select("v"))
+    full = written(sets(of_ids(docs, wanted, "left_semi")), "near-sets")
+    both = pairs.join(full.select(F.col("doc_id").alias("u"), F.col("runs").alias("r_u")), "u")
+    both = both.join(full.select(F.col("doc_id").alias("v"), F.col("runs").alias("r_v")), "v")
     common = F.size(F.array_intersect("r_u", "r_v"))
     return both.where(100 * common >= PERCENT * (F.size("r_u") + F.size("r_v") - common)).select("u", "v")
 
 
+def _bridges(known: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (u, v) that make the classes of one doc_id one node."""
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("f1", "f2") for f in (F.min, F.max)]
+    several = known.groupBy("doc_id").agg(*ends).where("f1_min <> f1_max OR f2_min <> f2_max").select("doc_id")
+    of_class = known.select("doc_id", "f1", "f2", "n").join(several, "doc_id", "left_semi")
+    return of_class.join(reps.select("f1", "f2", "n", F.col("doc_id").alias("rep")), ["f1", "f2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+
+
+def _across(buckets: DataFrame, reps: DataFrame, placed_in: DataFrame) -> DataFrame:
+    """Likely pairs (u, v) of one bucket in different components; those with a bucket's smallest have been tried."""
+    placed = buckets.join(placed_in, F.col("doc_id") == F.col("node"), "left").select("key", "hub", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    rest = placed.where("doc_id <> hub").join(mixed, "key").join(reps.select("doc_id", "n", "sketch", "parity"), "doc_id")
+    rest = written(rest, "near-rest")
+    left = _side(rest, "u", F.col("key"), F.col("c").alias("c_u"))
+    right = _side(rest, "v", F.col("key").alias("k"), F.col("c").alias("c_v"))
+    return left.join(right, (F.col("key") == F.col("k")) & (F.col("c_u") > F.col("c_v")) & _likely()).select("u", "v").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = written(signatures(docs), "near-signatures")
     known = rows.where("n > 0 AND doc_id IS NOT NULL")
-    same = written(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = rows.where("n > 0").join(same.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps.select("doc_id", "n", "bands", "sketch", "parity"), "near-representatives")
+    first = F.min(F.struct("doc_id", "bands", "sketch", "parity")).alias("r")
+    reps = written(known.groupBy("f1", "f2", "n").agg(first).select("f1", "f2", "n", "r.*"), "near-representatives")
 
     entries = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
     buckets = written(entries.join(shared, "key"), "near-buckets")
     star = buckets.where("doc_id > hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
     star = written(star.join(_side(reps, "u"), "u").join(_side(reps, "v"), "v").where(_likely()).select("u", "v"), "near-star")
-    links = written(_confirmed(star, docs), "near-links")
+    placed_in = components(_confirmed(star, docs).union(_bridges(known, reps)))
 
-    # rows of one doc_id that stand in two classes make these one node
-    twice = known.select("doc_id", "f1", "f2", "n").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    bridges = known.join(twice, "doc_id", "left_semi").join(same, ["f1", "f2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
-    bridges = written(bridges, "near-bridges")
+    across, seen, _ = observed(_across(buckets, reps, placed_in), "near-across", pairs=F.count(F.lit(1)))
+    if seen["pairs"]:
+        more = _confirmed(across, docs)
+        placed_in = components(placed_in.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
-    links = links.union(bridges)
-    placed_in = written(components(links), "near-components")
-    placed = buckets.join(placed_in, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = written(placed.join(mixed, "key").join(reps.select("doc_id", "n", "sketch", "parity"), "doc_id"), "near-rest")
-    left = _side(rest, "u", F.col("key"), F.col("c").alias("c_u"))
-    right = _side(rest, "v", F.col("key").alias("k"), F.col("c").alias("c_v"))
-    across = left.join(right, (F.col("key") == F.col("k")) & (F.col("c_u") > F.col("c_v")) & _likely()).select("u", "v").distinct()
-    across = across.join(star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v"))), ["u", "v"], "left_anti")
-    more = written(_confirmed(written(across, "near-across"), docs), "near-more")
-    if more.head(1):
-        placed_in = written(components(links.union(more)), "near-components")
-
-    out = rows.join(same, ["f1", "f2", "n"], "left").join(placed_in, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    final = reps.select("f1", "f2", "n", F.col("doc_id").alias("rep")).join(placed_in, F.col("rep") == F.col("node"), "left")
+    out = rows.select("doc_id", "n", "f1", "f2").join(final.select("f1", "f2", "n", F.coalesce("component", "rep").alias("c")), ["f1", "f2", "n"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their group, one row of each doc_id; rows without doc_id stay."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """The documents whose doc_id names their group; rows without doc_id stay.
+
+    Of several rows of one doc_id that with the smallest text stays, null before others.
+    """
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id")
+    place = free_name("place", docs)
+    sorts = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    order = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*sorts))
+    named = of_ids(docs.where("doc_id IS NOT NULL"), kept, "left_semi")
+    named = named.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 SQL = r"""

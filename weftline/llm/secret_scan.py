@@ -33,6 +33,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import free_name
+
 #: kind -> (pattern, group that has the value, least length of that group)
 BASE = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
@@ -203,12 +205,6 @@ def _entropy_spans(text: Column) -> Column:
     return F.transform(F.filter(_matches(text, CANDIDATE, 0, WINDOW, names[0]), wanted), named)
 
 
-def free_name(docs: DataFrame, stem: str) -> str:
-    """A column name that a table doesn't have."""
-    taken = {c.lower() for c in docs.columns}
-    return next(name for name in (stem + "_" * n for n in range(len(taken) + 1)) if name.lower() not in taken)
-
-
 def with_spans(docs: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "spans") -> DataFrame:
     """``docs`` with two columns more: the fixed forms' spans, and all spans, by start and kind.
 
@@ -221,7 +217,7 @@ def with_spans(docs: DataFrame, text: str = "text", base: str = "base_spans", sp
     rest = body
     for kind in BLANKED:
         rest = _bound(rest, partial(_blanked, kind))
-    left = free_name(out, f"{spans}_left")
+    left = free_name(f"{spans}_left", out)
     out = out.withColumn(left, F.when(F.size(base) > 0, rest).otherwise(body))
     more = F.when(F.col(left).rlike(NEEDS["entropy"]), _entropy_spans(F.col(left))).otherwise(_none())
     return out.withColumn(spans, F.array_sort(F.concat(base, more))).drop(left)
@@ -248,7 +244,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Spans that overlap become one mark. A null text stays null.
     """
-    base, spans, cuts = free_name(docs, "base_spans"), free_name(docs, "spans"), free_name(docs, "cuts")
+    base, spans, cuts = free_name("base_spans", docs), free_name("spans", docs), free_name("cuts", docs)
     found = with_spans(docs, "text", base, spans)
 
     def step(state: Column, s: Column) -> Column:
