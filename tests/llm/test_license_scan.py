@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -51,3 +52,48 @@ def test_tags(spark):
     assert (got[2].labels, got[2].permissive, got[2].expressions) == ("proprietary", None, ["(MIT"])
     assert (got[3].labels, got[3].score) == ("", 0.0)
     assert lic.notices(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tags_by_their_words(spark):
+    """Whatever stands between a tag's words, its expression is what is left of the line."""
+    texts = [
+        "SPDX License  Identifier: MIT", "spdx-license-identifier:\nGPL-2.0", "SPDX-License-Identifier\tISC # x", "é SPDX_LICENSE_IDENTIFIER :BSD-3-Clause\r\nMIT license",
+        "SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0", "spdx-license-identifier",
+    ]
+    got = {r.doc_id: r for r in lic.notices(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(6)] == ["mit", "", "isc", "bsd,mit", "gpl,mit", ""]
+    assert [got[i].expressions for i in range(4)] == [["MIT"], [""], ["ISC # x"], ["BSD-3-Clause"]]
+    assert got[4].expressions == ["MIT SPDX-License-Identifier: GPL-2.0", "GPL-2.0"] and got[4].permissive is False
+    assert [round(got[i].score, 4) for i in (0, 1, 3, 5)] == [0.95, 0.5, 0.99, 0.5]
+
+
+def test_labels_against_brute_force(spark):
+    """Labels, score and expressions by plain searches over the words."""
+    rng = random.Random(8)
+    every = {**lic.BASE_PHRASES, **lic.MORE_PHRASES}
+    parts = [*every, "SPDX-License-Identifier: MIT OR Zlib\n", "SPDX-License-Identifier: (GPL-2.0\n", "spdx license", "identifier", "words,", "all rights", "reserved"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(150)]
+
+    def want(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        inside = {p for p in [*every, lic.TAG] if any(words[i : i + len(p.split())] == p.split() for i in range(len(words)))}
+        labels, doubt, said = {every[p] for p in inside if p in every}, 0.2 ** len(inside - {lic.TAG}), []
+        for m in re.finditer(r"spdx\W+license\W+identifier\b", text, re.I):
+            said.append(text[m.end() :].split("\n")[0].lstrip(" \t").removeprefix(":").strip())
+            value = lic.evaluate(said[-1])
+            doubt *= 0.05 if value else 0.5
+            labels |= value.labels if value else set()
+        return ",".join(sorted(labels)), round(1 - doubt, 9), said
+
+    got = {r.doc_id: (r.labels, round(r.score, 9), r.expressions) for r in lic.notices(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {i: want(t) for i, t in enumerate(texts)}
+
+
+def test_time_is_linear(spark):
+    """A megabyte of phrases, and of tags, takes seconds."""
+    texts = ["mit license apache license " * 40_000, "SPDX-License-Identifier: MIT\n" * 35_000, "general public license\n" * 45_000]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in lic.notices(docs).collect()}
+    assert time.time() - began < 40
+    assert [got[0].n_base, got[0].first_word, got[0].last_word, got[2].n_base] == [80_000, 0, 159_998, 45_000] and len(got[1].expressions) == 35_000

@@ -4,22 +4,24 @@ A text's words are its runs of letters, digits and characters beyond ASCII, with
 in lower case. One Aho-Corasick automaton holds all notice phrases and the name of
 the identifier tag, each as words between single blanks; it runs over the text's
 words joined in the same way, so a hit is a place where the words stand in a row,
-whatever stands between them. Where the tag's name is hit, what follows each
-``SPDX-License-Identifier:`` up to the line's end is an expression: a shunting-yard
+whatever stands between them. Where the tag's name is hit, what follows its last word and
+a colon, if there is one, up to the line's end is an expression: a shunting-yard
 parser brings it into postfix order and evaluates it to the identifiers named and to
 whether it leaves a permissive choice (OR needs one side, AND both; WITH binds an
-exception to its identifier, tightest).
+exception to its identifier, tightest). Hits come in the order of their ends, so that
+words, and places in the text, are counted on from one hit to the next.
 
 The score is the noisy-or of the evidence: 0.95 for a well-formed expression, 0.5 for
-a broken one, 0.8 for each notice phrase found, counted once each.
+a broken or missing one, 0.8 for each notice phrase found, counted once each.
 
 Defined results: a null text counts as empty and has no words; texts of any length
-are scanned whole; each row is scanned by itself; a table without rows gives none;
+are scanned whole, in time that grows with their length; each row is scanned by itself; a table without rows gives none;
 other columns are never read.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -45,9 +47,13 @@ MORE_PHRASES = {
     "all rights reserved": "proprietary",
 }
 TAG = "spdx license identifier"
-TAG_VALUE = re.compile(r"spdx[-\s]license[-\s]identifier[:\s]\s*([^\r\n]*)", re.I)
+TAG_VALUE = re.compile(rb"[ \t]*:?([^\r\n]*)")
+WORD = re.compile(rb"[^ ]+")
 TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+:-]+)")
-FAMILIES = (("mit", "mit"), ("apache", "apache"), ("agpl", "gpl"), ("lgpl", "gpl"), ("gpl", "gpl"), ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("bsl", "bsl"), ("isc", "isc"), ("cc-by", "cc-by"))
+FAMILIES = (
+    ("mit", "mit"), ("apache", "apache"), ("agpl", "gpl"), ("lgpl", "gpl"), ("gpl", "gpl"), ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"),
+    ("bsl", "bsl"), ("isc", "isc"), ("cc-by", "cc-by"),
+)
 PERMISSIVE = {"mit", "apache", "bsd", "bsl", "isc", "cc-by"}
 BINDING = {"or": 1, "and": 2, "with": 3}
 
@@ -142,33 +148,51 @@ def notices(docs: DataFrame, base: dict[str, str] | None = None, more: dict[str,
     read: nothing is shuffled.
     """
     base, more = base or BASE_PHRASES, MORE_PHRASES if more is None else more
-    schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, expressions array<string>, permissive boolean"
+    schema = (
+        "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, "
+        "expressions array<string>, permissive boolean"
+    )
+
+    words_of = {p: p.count(" ") + 1 for p in [*base, *more, TAG]}
 
     def scan(machine: ahocorasick.Automaton, text: str | None) -> tuple:
-        text = text or ""
-        joined = text.encode("utf-8", "replace").translate(_WORD_BYTES).split()
-        n_words = len(joined)
-        plain = " " + b" ".join(joined).decode("latin-1") + " "
-        hits = list(machine.iter(plain))
-        if not hits:
-            return n_words, 0, None, None, "", "", 0.0, [], None
-        places = sorted(plain.count(" ", 0, end - len(phrase) - 1) for end, phrase in hits if phrase in base)
-        found = {phrase for _, phrase in hits}
+        data = (text or "").encode("utf-8", "replace")
+        spaced = data.translate(_WORD_BYTES)
+        words = spaced.split()
+        plain = " " + b" ".join(words).decode("latin-1") + " "
+        places, found, tags = [], set(), []
+        at, counted = 0, 0
+        for end, phrase in machine.iter(plain):
+            counted += plain.count(" ", at, end)
+            at = end
+            found.add(phrase)
+            if phrase in base:
+                places.append(counted - words_of[phrase])
+            if phrase == TAG:
+                tags.append(counted - 1)
+        if not found:
+            return len(words), 0, None, None, "", "", 0.0, [], None
         base_labels = {base[p] for p in found if p in base}
         labels = base_labels | {more[p] for p in found if p in more}
         doubt = 0.2 ** len(found - {TAG})
         expressions, permissive = [], None
-        if TAG in found:
-            for m in TAG_VALUE.finditer(text):
-                value = evaluate(m[1])
-                expressions.append(m[1].strip())
-                doubt *= 0.5 if value is None else 0.05
-                if value is not None:
-                    labels |= value.labels
-                    permissive = value.permissive if permissive is None else permissive and value.permissive
-        return n_words, len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1.0 - doubt, expressions, permissive
-
-    types = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "n_base", "first_word", "last_word")), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string())), ("permissive", pa.bool_())])
+        ends = itertools.islice((m.end() for m in WORD.finditer(spaced)), tags[-1] + 1) if tags else ()
+        wanted = set(tags)
+        for end in (e for i, e in enumerate(ends) if i in wanted):
+            expression = TAG_VALUE.match(data, end)[1].decode("utf-8", "replace").strip()
+            value = evaluate(expression)
+            expressions.append(expression)
+            doubt *= 0.5 if value is None else 0.05
+            if value is not None:
+                labels |= value.labels
+                permissive = value.permissive if permissive is None else permissive and value.permissive
+        bounds = (min(places), max(places)) if places else (None, None)
+        return len(words), len(places), *bounds, ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1.0 - doubt, expressions, permissive
+
+    types = pa.schema([
+        *((c, pa.int64()) for c in ("doc_id", "n_words", "n_base", "first_word", "last_word")), ("base_labels", pa.string()), ("labels", pa.string()),
+        ("score", pa.float64()), ("expressions", pa.list_(pa.string())), ("permissive", pa.bool_()),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton([*base, *more, TAG])
