@@ -2,26 +2,30 @@
 
 * Each source's documents, in the order of a hash, make one stream of words, packed
   into blocks of ``BLOCK`` words; the last block may be shorter. Positions come from
-  prefix sums in two levels (within hash ranges, then over the ranges), so that no
-  task holds a whole source.
+  prefix sums in three levels (within hash ranges, over the ranges of a group, over the
+  groups), so that no task holds a whole source.
 * Targets share ``share`` times all words by weight; none exceeds ``limit`` times its
   source's words, and what is over goes to the others by weight.
-* The output is shards of ``SHARD`` slots, one block each. For every shard a seeded
-  draw says how many slots each source has: the whole part of its expected number,
-  and a multinomial draw for the slots that are left.
+* The output is shards of ``SHARD`` slots, one block each. How many of a shard's slots
+  each source has is a multinomial draw, given that over all shards each source gets
+  its target's number of slots. So shards differ as in free draws, while the sums keep to
+  the targets at any size. The draw is made by halves: the slots of a range of shards are
+  dealt to its two halves by a multivariate hypergeometric draw, seeded by the range; so
+  each task draws its own shards, and knows how many slots of a source come before them.
 * A source's slots over all shards are numbered. Slot j takes the block at place
   j mod n of the source's pseudorandom permutation (a Feistel network with cycle
   walking) of its n blocks, a different permutation for each pass over the source.
-  Slots beyond ``limit`` passes stay unused. Slots and blocks are joined by source
-  and index.
+  Slots and blocks are joined by source and index.
 
-Draws and permutations depend on the seed and on shard and source numbers only, the
-streams on hashes of rows; so a rerun, or a task's second attempt, gives the same mix.
+Draws and permutations depend on the seed, the sources' sizes and the ranges of shards
+only, the streams on hashes of rows; so a rerun, or a task's second attempt, gives the
+same mix. A source is a label: what the driver holds of each is its name, size and
+number of rows, and each task its number of slots.
 
 Defined results: a null text has no words, its row takes 0; a null source is a source
 of its own, the last; rows that repeat are documents of their own; a source without
-words has the target 0; an empty table gives an empty result; other columns are never
-read.
+words has the target 0; a text of any length is one document of as many blocks as it
+fills; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -33,19 +37,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-from weftline.llm.common import cores, cut, splitmix, written
+from weftline.llm.common import cores, splitmix, written
 
 BLOCK = 64
 SHARD = 4096
 SEED = 20
 ROUNDS = 4
-#: Sources are configured by hand; their sizes, not their rows, come to the driver.
-MAX_SOURCES = 100_000
+#: Up to so many sources their table is broadcast; beyond, it is joined as any other.
+MAX_BROADCAST_SOURCES = 100_000
 RANGE_ROWS = 1024
+GROUP_RANGES = 4096
 TASK_SLOTS = 1 << 18
-NULL_SOURCE = "null"
+#: Up to so many slots numpy draws exactly; beyond, the normal law stands in, as close as counts so large can tell.
+MOST_EXACT = 10**9
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -72,15 +78,43 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, limit:
     return out
 
 
-def draw(shard: int, slots: int, parts: np.ndarray) -> np.ndarray:
-    """How many of a shard's slots each source has, given shares that add up to 1."""
-    expected = slots * parts
-    whole = np.floor(expected).astype(np.int64)
-    rest = expected - whole
-    left = int(slots - whole.sum())
-    if left > 0 and rest.sum() > 0:
-        whole += np.random.default_rng([SEED, shard]).multinomial(left, rest / rest.sum())
-    return whole
+def _marked(rng: np.random.Generator, marked: int, others: int, drawn: int) -> int:
+    """How many of ``drawn`` slots out of marked and other ones are marked."""
+    total = marked + others
+    if total < MOST_EXACT:
+        return int(rng.hypergeometric(marked, others, drawn))
+    mean = drawn * marked / total
+    deviation = math.sqrt(max(0.0, mean * (others / total) * (total - drawn) / (total - 1)))
+    return min(max(round(rng.normal(mean, deviation)), drawn - others, 0), marked, drawn)
+
+
+def halved(counts: np.ndarray, low: int, high: int, slots: int) -> np.ndarray:
+    """How many of each source's slots in the shards of a range fall into its first ``slots`` slots."""
+    rng = np.random.default_rng([SEED, low, high])
+    out, left, drawn = np.zeros_like(counts), int(counts.sum()), slots
+    for i in np.flatnonzero(counts):
+        if not drawn:
+            break
+        left -= int(counts[i])
+        out[i] = _marked(rng, int(counts[i]), left, drawn)
+        drawn -= int(out[i])
+    return out
+
+
+def draws(totals: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For the shards of a range: the shard, each source's slots in it, and each one's in all shards before."""
+    def part(counts: np.ndarray, before: np.ndarray, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if low >= end or high <= begin:
+            return
+        if high - low == 1:
+            yield low, counts, before
+            return
+        middle = (low + high) // 2
+        first = halved(counts, low, high, (middle - low) * SHARD)
+        yield from part(first, before, low, middle)
+        yield from part(counts - first, before + first, middle, high)
+
+    yield from part(totals, np.zeros_like(totals), 0, math.ceil(int(totals.sum()) / SHARD))
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -99,65 +133,70 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _before(*by: str) -> WindowSpec:
+    """The rows before one, of those equal in all but the last of ``by``, in the order of the last."""
+    return Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def _placed(rows: DataFrame) -> DataFrame:
     """``rows`` with ``start``, the words of their source that come before them."""
-    rows = rows.withColumn("range", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("ranges")).cast("bigint")).drop("ranges")
-    before = Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source_no", "range").agg(F.sum("size").alias("words")).withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
+    place = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("ranges")).cast("bigint")
+    rows = rows.withColumn("range", place).drop("ranges")
+    ranges = rows.groupBy("source_no", "range").agg(F.sum("size").alias("words")).withColumn("group", F.expr(f"range DIV {GROUP_RANGES}"))
+    groups = ranges.groupBy("source_no", "group").agg(F.sum("words").alias("words"))
+    groups = groups.select("source_no", "group", F.coalesce(F.sum("words").over(_before("source_no", "group")), F.lit(0)).alias("base"))
+    earlier = F.coalesce(F.sum("words").over(_before("source_no", "group", "range")), F.lit(0)).alias("earlier")
+    ranges = ranges.select("source_no", "group", "range", earlier).join(groups, ["source_no", "group"])
     within = Window.partitionBy("source_no", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return rows.join(sums, ["source_no", "range"]).withColumn("start", F.col("base") + F.col("inner")).drop("range", "inner", "base")
+    rows = rows.join(ranges.select("source_no", "range", (F.col("base") + F.col("earlier")).alias("base")), ["source_no", "range"])
+    return rows.withColumn("start", F.col("base") + F.col("inner")).drop("range", "inner", "base")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """Two tables: the documents as placed in their sources' streams, and the mix.
 
-    Documents: (doc_id, source, source_no, size, source_size, target, start). The mix:
-    (shard, slot, source_no, block), of which block b of a source has its stream's
-    words from b * BLOCK. Weights repeat over the sources by code point, null last.
+    Documents: (doc_id, source, source_no, size, source_size, target, start); start is
+    null for documents without words. The mix: (shard, slot, source_no, block), of which
+    block b of a source has its stream's words from b * BLOCK. Weights repeat over the
+    sources by code point, null last.
     """
     spark = docs.sparkSession
     rows = written(sized(docs), "mix-sizes")
-    known = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(known) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    known = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("n")).collect()
     known = sorted(known, key=lambda r: (r.source is None, (r.source or "").encode()))
     sizes = [r.words for r in known]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, limit)
-    table = spark.createDataFrame([(r.source, i, r.words, g, math.ceil(r.n / RANGE_ROWS)) for i, (r, g) in enumerate(zip(known, goal, strict=True))], "_source string, source_no int, source_size bigint, target double, ranges bigint")
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = written(_placed(rows).drop("h"), "mix-placed")
+    named = [(r.source, i, r.words, g, max(1, math.ceil(r.n / RANGE_ROWS))) for i, (r, g) in enumerate(zip(known, goal, strict=True))]
+    table = spark.createDataFrame(named, "_source string, source_no int, source_size bigint, target double, ranges bigint")
+    table = F.broadcast(table) if len(named) <= MAX_BROADCAST_SOURCES else table
+    rows = rows.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # rows without words need no place; many of them may be equal
+    none = rows.where("size = 0").drop("h", "ranges").withColumn("start", F.lit(None).cast("bigint"))
+    placed = written(_placed(rows.where("size > 0")).drop("h").unionByName(none), "mix-placed")
 
     blocks = np.array([math.ceil(s / BLOCK) for s in sizes], np.int64)
-    total = sum(goal)
-    slots = round(total / BLOCK)
+    totals = np.array([round(g / s * b) if s else 0 for g, s, b in zip(goal, sizes, blocks, strict=True)], np.int64)
+    slots = int(totals.sum())
+    shape = "shard bigint, slot bigint, source_no int, block bigint"
     if not slots:
-        return placed, spark.createDataFrame([], "shard bigint, slot bigint, source_no int, block bigint")
-    parts = np.array(goal) / total
-
-    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for shard in f["id"]:
-                of = draw(shard, min(SHARD, slots - shard * SHARD), parts)
-                use = np.flatnonzero(of)
-                yield pd.DataFrame({"shard": shard, "source_no": use.astype(np.int32), "n": of[use], "slot": (np.cumsum(of) - of)[use]})
-
-    shards = math.ceil(slots / SHARD)
-    drawn = cut(spark.range(shards, numPartitions=min(shards, 64 * spark.sparkContext.defaultParallelism)).mapInPandas(counts, "shard bigint, source_no int, n bigint, slot bigint"))
-    earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        return placed, spark.createDataFrame([], shape)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for r in f.itertuples():
-                of = int(blocks[r.source_no])
-                j = np.arange(r.first, min(r.first + r.n, int(limit * of)))
-                key = np.uint64(r.source_no + 1) * np.uint64(1 << 20) + (j // of).astype(np.uint64)
-                yield pd.DataFrame({"shard": r.shard, "slot": r.slot + np.arange(len(j)), "source_no": np.int32(r.source_no), "block": permuted(j % of, np.full(len(j), of), key)})
+            if not len(f):
+                continue
+            for shard, counts, before in draws(totals, int(f["id"].min()), int(f["id"].max()) + 1):
+                source = np.repeat(np.arange(len(counts)), counts)
+                slot = np.arange(len(source))
+                j = before[source] + slot - (np.cumsum(counts) - counts)[source]
+                of = blocks[source]
+                key = (source + 1).astype(np.uint64) * np.uint64(1 << 20) + (j // of).astype(np.uint64)
+                yield pd.DataFrame({"shard": shard, "slot": slot, "source_no": source.astype(np.int32), "block": permuted(j % of, of, key)})
 
-    # a few rows a shard grow into its slots: deal them out first, to as many tasks as these need
-    drawn = drawn.repartition(max(cores(spark), math.ceil(slots / TASK_SLOTS)), "shard", "source_no")
-    return placed, drawn.mapInPandas(place, "shard bigint, slot bigint, source_no int, block bigint")
+    shards = math.ceil(slots / SHARD)
+    tasks = min(shards, max(cores(spark), math.ceil(slots / TASK_SLOTS)))
+    return placed, spark.range(0, shards, 1, tasks).mapInPandas(place, shape)
 
 
 def document_blocks(placed: DataFrame) -> DataFrame:
@@ -173,8 +212,6 @@ def mixing(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     # Spark can't know how many slots a shard's row becomes, so it mustn't take them for small
     taken = document_blocks(placed).hint("merge").join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    # a start is one document's with words and perhaps several's without
-    full = placed.where("size > 0").join(taken, ["source_no", "start"], "left")
-    none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
-    out = full.unionByName(none)
+    # a start is that of one document with words
+    out = placed.join(taken, ["source_no", "start"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
