@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 from weftline.llm import quality_rules as rules
@@ -75,3 +76,39 @@ def test_few_labels_reject_nothing_and_empty(spark):
     assert all(r.kept for r in rules.quality_rules(docs, labels).collect())
     assert rules.quality_rules(docs.where("false"), labels).count() == 0
     assert all(r.kept for r in rules.quality_rules(docs, labels.where("false")).collect())
+
+
+def simulated(strata, n, seed, share_bad=0.15):
+    """Counts of documents whose rules reject good ones at random, and which are good."""
+    rng = np.random.default_rng(seed)
+    stratum = np.repeat(np.arange(strata), n)
+    good = rng.random(len(stratum)) >= share_bad
+    rare = rng.uniform(0.0, 0.02, strata)[stratum]  # a stratum's share of good documents with odd measures
+    odd = np.where(good, rng.random(len(stratum)) < rare, rng.random(len(stratum)) < 0.8)
+    measure = np.where(odd, rng.integers(10, 60, len(stratum)), rng.integers(0, 3, len(stratum)))
+    rows = pd.DataFrame({"doc_id": np.arange(len(stratum)), "lang": stratum.astype(str), "n_words": 100, "word_chars": 450, "n_symbols": 0, "n_dup_lines": measure, "n_repeat_words": np.where(rng.random(len(stratum)) < 0.5, measure, 0)})
+    return rows, good
+
+
+def test_no_stratum_loses_too_many(spark):
+    """Over many strata, the cutoffs together reject no more good documents than the risk allows."""
+    rows, good = simulated(40, 4000, 3)
+    known = np.arange(len(rows)) % 2 == 0
+    labels = spark.createDataFrame(pd.DataFrame({"doc_id": rows["doc_id"][known], "quality": good[known].astype(int)}))
+    counts = spark.createDataFrame(rows)
+    chosen = rules.cutoffs(counts, labels, risk=0.01, error=0.05)
+    kept = rules.judged(counts, chosen).select("doc_id", "kept").toPandas().set_index("doc_id")["kept"].loc[rows["doc_id"]].to_numpy()
+    lost = pd.Series(~kept[good]).groupby(rows["lang"][good].to_numpy()).mean()
+    caught = pd.Series(~kept[~good]).groupby(rows["lang"][~good].to_numpy()).mean()
+    # the strata with a true share above the risk mustn't be cut: at most 5 % of all such runs may fail in any stratum
+    assert (lost > 0.0135).sum() == 0
+    assert (caught > 0.5).sum() >= 10 and chosen.count() >= 10
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "w" + " v".join(map(str, range(90))), "en"), (2, "x", "en")], "doc_id long, text string, lang string")
+    docs = docs.selectExpr("*", "1 AS q_n_words", "2 AS _stratum", "3 AS stratum", "4 AS kept", "5 AS n_words", "6 AS setting", "7 AS base_failed", "8 AS `a b`")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    kept = rules.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.collect() == docs.where("doc_id = 1").collect()
+    assert sorted(r.kept for r in rules.quality_rules(docs, labels).collect()) == [False, True]

@@ -1,23 +1,30 @@
 """Quality rules whose cutoffs come with a risk guarantee.
 
 Every text is measured once (words, symbols, repeated lines and repeated word
-runs). For each stratum and rule, labelled good documents are a holdout: a cutoff
-may be used only if the exact binomial upper bound of the share of good documents
-that it rejects stays within ``risk``, at a confidence that is split over all
-strata, rules and cutoffs tried (Bonferroni). Of those cutoffs the one that
-rejects most labelled bad documents is used, the mildest of several; a rule that
-rejects no bad document, or a stratum with too few labels, has no cutoff.
+runs). A stratum (a language, say) gets a ladder of settings, each a cutoff for every
+rule or none: on rung q, a rule has the strictest cutoff of its grid that rejects at most
+a share of q of the stratum's unlabelled documents and at least one labelled bad one. So a
+document that a rung rejects is rejected by all stricter ones. Labelled good documents
+are the holdout. From the mildest rung on, the exact binomial upper bound of the share of
+good documents that the rung's rules reject together has to stay within ``risk``; the last
+rung before the first that fails is used. Rungs are made without the labelled good
+documents and tested in a fixed order, so they need no correction; the confidence is split
+over the strata (Bonferroni). With a probability of 1 - ``error``, no stratum loses more
+than a share of ``risk`` of its good documents to all cutoffs together.
 
 Defined results: a null text counts as empty (it fails the base rule, having no
-words); a null stratum is a stratum of its own; rows that share a doc_id are
-measured each by itself; labels of one doc_id are merged to the smallest; with no
-labels only the base rule rejects; other columns of the input are never read.
+words); texts of any length are measured whole, the longest in a batch of their own; a
+null stratum is a stratum of its own; rows that share a doc_id are measured each by
+itself; labels of one doc_id are merged to the smallest; in a stratum with too few labels,
+and with no labels, only the base rule rejects; an empty table gives an empty result;
+other columns, of any name, are never read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import tokens
-from weftline.llm.common import by_size, cut, splitmix, text_bytes, written
+from weftline.llm.common import by_size, free_name, observed, splitmix, text_bytes, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -39,6 +46,8 @@ RULES = {
 }
 RISK = 0.01
 ERROR = 0.05
+#: Rungs of the ladder: the thousandths of unlabelled documents that one rule may reject.
+RUNGS = (1, 3, 10, 30, 100, 200, 300, 500)
 MAX_BROADCAST_STRATA = 10_000
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -114,51 +123,91 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return math.exp(log) * total
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A table of strata, written, to be broadcast if its size is within the bound."""
+    out, seen, _ = observed(table, "quality-strata", n=F.count(F.lit(1)))
+    return F.broadcast(out) if (seen["n"] or 0) <= MAX_BROADCAST_STRATA else out
+
+
+def _ladder(measures: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows (stratum, rungs): an array of settings, mildest first, each a struct of the rules' cutoffs."""
+    tried = [(rule, c) for rule, (_, grid) in RULES.items() for c in grid]
+
+    def counted(rows: DataFrame, names: dict[str, Column]) -> DataFrame:
+        sums = [F.count_if(of & (F.col(rule) > c)).alias(f"{name}_{rule}_{c}") for name, of in names.items() for rule, c in tried]
+        return rows.groupBy("stratum").agg(F.count("*").alias(f"n_{min(names)}"), *sums)
+
+    both = counted(measures, {"all": F.lit(True)}).join(
+        counted(held, {"known": F.lit(True), "bad": F.col("quality") != 1}).withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s"))
+    ).withColumnRenamed("n_bad", "n_known")
+
+    def cutoff(rule: str, q: int) -> Column:
+        """The strictest cutoff that a rung allows a rule."""
+        out = F.lit(None).cast("int")
+        for c in sorted(RULES[rule][1], reverse=True):
+            apart = F.col(f"all_{rule}_{c}") - F.col(f"known_{rule}_{c}") + 1
+            fits = (1000 * apart <= q * (F.col("n_all") - F.col("n_known") + 2)) & (F.col(f"bad_{rule}_{c}") > 0)
+            out = F.when(fits, c).otherwise(out)
+        return out.alias(rule)
+
+    return both.select("stratum", F.array(*(F.struct(*(cutoff(rule, q) for rule in RULES)) for q in RUNGS)).alias("rungs"))
+
+
+def _rejected(setting: Column, value: Callable[[str], Column]) -> Column:
+    """Whether any rule's value exceeds its cutoff in a setting."""
+    out = F.lit(False)
+    for rule in RULES:
+        out = out | F.coalesce(value(rule) > setting[rule], F.lit(False))
+    return out
+
+
 def cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """Rows (stratum, one column a rule with its cutoff or null) for the strata that have a cutoff.
+    """Rows (stratum, one column a rule with its cutoff or null) for the strata that have labels.
 
-    A cutoff passes if P(X <= rejected good) <= error / tests at the given risk: then
+    A rung passes if P(X <= rejected good) <= error / strata at the given risk: then
     the upper Clopper-Pearson bound of the false rejections is at most ``risk``.
     """
     quality = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = counts.select("doc_id", F.col(stratum).alias("stratum"), *(F.expr(sql).alias(rule) for rule, (sql, _) in RULES.items())).join(quality, "doc_id")
-    good = F.col("quality") == 1
-    sums = [F.sum(good.cast("long")).alias("n_good")]
-    for rule, (_, grid) in RULES.items():
-        for c in grid:
-            over = F.col(rule) > c
-            sums += [F.sum((over & good).cast("long")).alias(f"g_{rule}_{c}"), F.sum((over & ~good).cast("long")).alias(f"b_{rule}_{c}")]
-    wide = held.groupBy("stratum").agg(*sums)
-    tried = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"g_{rule}_{c}").alias("k_good"), F.col(f"b_{rule}_{c}").alias("k_bad")) for rule, (_, grid) in RULES.items() for c in grid))
-    long = cut(wide.select("stratum", "n_good", F.inline(tried)))
-    level = error / max(1, long.count())
-
-    def test(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    measures = counts.select("doc_id", F.col(stratum).alias("stratum"), *(F.expr(sql).alias(rule) for rule, (sql, _) in RULES.items()))
+    held = written(measures.join(quality, "doc_id").drop("doc_id"), "quality-held")
+    ladder = _small(_ladder(measures.drop("doc_id"), held))
+    tested = held.where("quality = 1").join(ladder.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")))
+    fails = [F.count_if(_rejected(F.col("rungs")[i], F.col)).alias(f"k{i}") for i in range(len(RUNGS))]
+    tested = _small(tested.groupBy("stratum").agg(F.count("*").alias("n"), F.first("rungs").alias("rungs"), *fails))
+    level = error / max(1, tested.count())
+
+    def chosen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ok = [b > 0 and binomial_tail(int(k), int(n), risk) <= level for n, k, b in zip(f.n_good, f.k_good, f.k_bad, strict=True)]
-            yield f[ok]
+            last = []
+            for row in f.itertuples():
+                passed = [binomial_tail(int(getattr(row, f"k{i}")), int(row.n), risk) <= level for i in range(len(RUNGS))]
+                last.append(passed.index(False) - 1 if False in passed else len(RUNGS) - 1)
+            yield pd.DataFrame({"stratum": f["stratum"], "last": pd.array(last, "int32")})
 
-    passed = long.mapInPandas(test, long.schema)
-    best = passed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("k_bad", "cutoff")).alias("cutoff"))
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(rule) for rule in RULES))
+    kind = measures.schema["stratum"].dataType.simpleString()
+    last = tested.select("stratum", "n", *(f"k{i}" for i in range(len(RUNGS)))).mapInPandas(chosen, f"stratum {kind}, last int")
+    final = last.where("last >= 0").join(ladder.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")))
+    return final.select("stratum", F.get("rungs", F.col("last")).alias("setting")).select("stratum", "setting.*")
 
 
 def base_failed(prefix: str = "") -> Column:
-    return F.expr(f"{prefix}n_words < 50 OR 100 * {prefix}n_repeat_words > 50 * {prefix}n_words")
+    return F.expr(f"`{prefix}n_words` < 50 OR 100 * `{prefix}n_repeat_words` > 50 * `{prefix}n_words`")
 
 
 def judged(measured: DataFrame, chosen: DataFrame, stratum: str = "lang", prefix: str = "") -> DataFrame:
     """``measured`` with two more columns: base_failed, and kept by base rule and cutoffs."""
-    chosen = cut(chosen.select(F.col("stratum").alias("_stratum"), *(F.col(r).alias(f"_cut_{r}") for r in RULES)))
-    if chosen.count() <= MAX_BROADCAST_STRATA:
-        chosen = F.broadcast(chosen)
-    rejected = F.lit(False)
-    for rule, (sql, _) in RULES.items():
+    name, setting = free_name("stratum", measured), free_name("setting", measured)
+    chosen = _small(chosen.select(F.col("stratum").alias(name), F.struct(*RULES).alias(setting)))
+
+    def value(rule: str) -> Column:
+        sql = RULES[rule][0]
         for c in COUNTS:
-            sql = sql.replace(c, prefix + c)
-        rejected = rejected | F.coalesce(F.expr(sql) > F.col(f"_cut_{rule}"), F.lit(False))
-    out = measured.join(chosen, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-    return out.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}kept": ~base_failed(prefix) & ~rejected}).drop("_stratum", *(f"_cut_{r}" for r in RULES))
+            sql = re.sub(rf"\b{c}\b", f"`{prefix}{c}`", sql)
+        return F.expr(sql)
+
+    out = measured.join(chosen, F.col(f"`{stratum}`").eqNullSafe(F.col(name)), "left")
+    failed = base_failed(prefix)
+    return out.withColumns({f"{prefix}base_failed": failed, f"{prefix}kept": ~failed & ~_rejected(F.col(setting), value)}).drop(name, setting)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
@@ -176,30 +225,45 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: f
     """
     counts = written(with_counts(docs.select("doc_id", stratum, "text"), keep_text=False), "quality-counts")
     chosen = cutoffs(counts, labels, stratum, risk, error)
-    return judged(with_counts(docs, prefix="_q_"), chosen, stratum, "_q_").where("_q_kept").select(*docs.columns)
+    prefix = "q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return judged(with_counts(docs, prefix=prefix), chosen, stratum, prefix).where(f"`{prefix}kept`").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _sql() -> str:
     measures = ", ".join(f"{sql.replace(' DIV ', ' // ')} AS {rule}" for rule, (sql, _) in RULES.items())
-    tried = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, {c} AS cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND {r} > {c}) AS k, count(*) FILTER (quality <> 1 AND {r} > {c}) AS b FROM held GROUP BY lang" for r, (_, grid) in RULES.items() for c in grid)
-    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - CASE WHEN n > i THEN lgamma(n - i + 1) ELSE 0 END + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))))"
-    rejected = " OR ".join(f"EXISTS (SELECT 1 FROM best x WHERE x.lang IS NOT DISTINCT FROM m.lang AND x.rule = '{r}' AND m.{r} > x.cutoff)" for r in RULES)
+    tried = [(rule, c) for rule, (_, grid) in RULES.items() for c in grid]
+    shares = " UNION ALL ".join(
+        f"SELECT lang, '{rule}' AS rule, {c} AS cutoff, count(*) FILTER (quality IS NULL) AS n, count(*) FILTER (quality IS NULL AND {rule} > {c}) AS k, "
+        f"count(*) FILTER (quality <> 1 AND {rule} > {c}) AS bad, count(quality) AS known FROM marked GROUP BY lang" for rule, c in tried
+    )
+    rungs = ", ".join(f"({q})" for q in RUNGS)
+    tail = (
+        f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - CASE WHEN n > i THEN lgamma(n - i + 1) ELSE 0 END "
+        f"+ i * ln({RISK}) + (n - i) * ln(1 - {RISK}))))"
+    )
+    over = " OR ".join(f"coalesce(m.{rule} > s.{rule}, false)" for rule in RULES)
+    columns = ", ".join(f"min(cutoff) FILTER (rule = '{rule}' AND bad > 0 AND 1000 * (k + 1) <= q * (n + 2)) AS {rule}" for rule in RULES)
     return rf"""
-WITH t AS (SELECT doc_id, lang, coalesce("text", '') AS body FROM documents),
-w AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce("text", '') AS body FROM documents),
+w AS (SELECT *, regexp_extract_all(body, '[^ 	-]+') AS ws, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM t),
 g AS (SELECT *, list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS gs FROM w),
-r AS (SELECT *, map_from_entries(list_transform(map_entries(list_histogram(gs)), lambda e: {{'k': e.key, 'v': e.value}})) AS h FROM g),
-c AS (SELECT doc_id, lang, len(ws)::BIGINT AS n_words, length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+h AS (SELECT *, map_from_entries(list_transform(map_entries(list_histogram(gs)), lambda e: {{'k': e.key, 'v': e.value}})) AS h FROM g),
+c AS (SELECT r, doc_id, lang, len(ws)::BIGINT AS n_words, length(regexp_replace(body, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-  len(list_filter(range(1, len(ws) + 1), lambda i: (i <= len(gs) AND h[gs[i]] > 1) OR (i > 1 AND i - 1 <= len(gs) AND h[gs[i - 1]] > 1) OR (i > 2 AND i - 2 <= len(gs) AND h[gs[i - 2]] > 1)))::BIGINT AS n_repeat_words FROM r),
+  len(list_filter(range(1, len(ws) + 1), lambda i: (i <= len(gs) AND h[gs[i]] > 1) OR (i > 1 AND i - 1 <= len(gs) AND h[gs[i - 1]] > 1) OR (i > 2 AND i - 2 <= len(gs) AND h[gs[i - 2]] > 1)))::BIGINT AS n_repeat_words FROM h),
 m AS (SELECT *, {measures} FROM c),
-q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-held AS (SELECT * FROM m JOIN q USING (doc_id)),
-tried AS ({tried}),
-passed AS (SELECT * FROM tried WHERE b > 0 AND k < n * {RISK} AND {tail} <= {ERROR} / (SELECT count(*) FROM tried)),
-best AS (SELECT lang, rule, arg_max(cutoff, b * 1000000 + cutoff) AS cutoff FROM passed GROUP BY lang, rule)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({rejected}) AS kept FROM m"""
+q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+marked AS (SELECT m.*, quality FROM m LEFT JOIN q USING (doc_id)),
+shares AS ({shares}),
+ladder AS (SELECT lang, q, {columns} FROM shares, (VALUES {rungs}) AS v(q) WHERE known > 0 GROUP BY lang, q),
+tested AS (SELECT s.lang, s.q, count(*) AS n, count(*) FILTER ({over}) AS k FROM ladder s JOIN marked m ON m.lang IS NOT DISTINCT FROM s.lang AND m.quality = 1 GROUP BY s.lang, s.q),
+passed AS (SELECT *, k < n * {RISK} AND {tail} <= {ERROR} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM tested)) AS ok FROM tested),
+chosen AS (SELECT lang, max(q) AS q FROM passed p WHERE NOT EXISTS (SELECT 1 FROM passed f WHERE f.lang IS NOT DISTINCT FROM p.lang AND f.q <= p.q AND NOT f.ok) GROUP BY lang),
+setting AS (SELECT ladder.* FROM ladder JOIN chosen c ON ladder.lang IS NOT DISTINCT FROM c.lang AND ladder.q = c.q)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({over}) AS kept FROM m LEFT JOIN setting s ON m.lang IS NOT DISTINCT FROM s.lang"""
 
 
 SQL = _sql()
