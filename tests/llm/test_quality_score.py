@@ -1,6 +1,11 @@
+import math
 import random
+import re
+import string
 import zlib
 
+import numpy as np
+
 from weftline.llm import quality_score as quality
 
 
@@ -42,3 +47,59 @@ def test_edges(spark):
     got = quality.quality_scores(frame, none).collect()
     assert len(got) == 5 and {r.score for r in got} == {0.3}
     assert quality.quality_scores(frame.where("false"), none).count() == 0
+
+
+def plain_features(text):
+    """The features of one text, in plain Python."""
+    text = text or ""
+    data = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data.translate(bytes(b + 32 if 65 <= b < 91 else b for b in range(256))))
+    raw = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    lines = [x for x in data.split(b"\n") if x]
+    size, some = max(len(text), 1), max(len(words), 1)
+    of = lambda chars: sum(data.count(c.encode()) for c in chars) / size
+    symbols = "#*$%&<>@^~=+_{}[]\\/"
+    ends = lambda chars: sum(w[-1:].decode("latin-1") in chars for w in raw) / some
+    return {
+        "log_words": math.log1p(len(words)), "word_length": size / some, "upper": of(string.ascii_uppercase), "digits": of(string.digits), "symbols": of(symbols),
+        "exclamations": of("!"), "pipes": of("|"), "stops": of(".?"), "commas": of(",;:"), "end_symbols": ends(symbols), "end_exclamations": ends("!"),
+        "next_repeats": sum(a == b for a, b in zip(words, words[1:])) / some, "distinct": len(set(words)) / some,  # noqa: B905
+        "line_words": math.log1p(len(words) / max(len(lines), 1)), "dup_lines": (len(lines) - len(set(lines))) / max(len(lines), 1), "beyond_ascii": sum(b >= 0xC0 for b in data) / size,
+    }
+
+
+def test_scores_against_brute_force(spark):
+    """Features by plain Python, the fit by plain loops of a few steps, and the scores of every text."""
+    rows = docs(300)
+    texts = [t for _, t, _ in rows] + ["", None, "é Ü|x\nx\nx\n\ny!! #1 a a, b.", " \n\t", "w " * 30_000]
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.quality_scores(frame, labels).collect()}
+    x = np.array([[plain_features(t)[f] for f in quality.FEATURES] for t in texts])
+    learn = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    model = quality.fit(x[learn], np.array([rows[i][2] == 1 for i in learn]))
+    bad = sum(rows[i][2] == 0 for i in learn)
+    raw = np.array([sum(min(max((v - m) / d, -quality.CLIP), quality.CLIP) * w for v, m, d, w in zip(row, model.mean, model.deviation, model.weights, strict=True)) for row in x])
+    scores = 1 / (1 + np.exp(-(model.slope * (raw - model.threshold) + math.log(0.3 / 0.7))))
+    assert (raw[learn] < model.threshold).sum() == bad  # the quantile at the share of bad documents
+    assert all(abs(got[i].score - s) < 1e-6 for i, s in enumerate(scores))
+
+
+def test_weights_maximise_the_pairs_likelihood():
+    """No small step away from the fitted weights makes the preferences likelier."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, len(quality.FEATURES)))
+    good = x[:, 0] - 0.5 * x[:, 3] + rng.normal(scale=0.8, size=400) > -0.8
+    model = quality.fit(x, good)
+    z = np.clip((x - model.mean) / model.deviation, -quality.CLIP, quality.CLIP)
+
+    def loss(w):
+        apart = (z[good] @ w)[:, None] - (z[~good] @ w)[None, :]
+        return np.log1p(np.exp(-apart)).mean() + quality.RIDGE / 2 * (w**2).sum()
+
+    best = loss(model.weights)
+    for i in range(x.shape[1]):
+        for step in (-0.15, 0.15):
+            moved = model.weights.copy()
+            moved[i] += step
+            assert loss(moved) > best - 2e-4
