@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,44 @@ def test_files(spark, tmp_path):
 def test_geojson(spark, wkt, coordinates):
     got = json.loads(one(spark, geo.as_geojson(geo.from_text(F.lit(wkt)))))
     assert got["coordinates"] == coordinates and got["type"].upper() == wkt.split()[0]
+
+
+def test_numbers_follow_the_order(spark):
+    """Skewed, repeated and null keys, over several partitions, and columns of the names that numbering uses."""
+    rows = spark.range(0, 5000, 1, 7).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 5 = 0 THEN NULL ELSE id % 1000 END AS k", "id AS place", "1 AS part", "2 AS before")
+    got = misc.with_range(rows, "n", [F.col("k").asc_nulls_last(), F.col("place").desc()], 10, 5).collect()
+    want = sorted((r.k is None, r.k or 0, -r.place) for r in rows.collect())
+    assert [(r.k is None, r.k or 0, -r.place) for r in sorted(got, key=lambda r: r.n)] == want
+    assert sorted(r.n for r in got) == [10 + 5 * i for i in range(5000)]
+    assert misc.with_range(rows.where("false"), "n", ["k"]).count() == 0
+
+
+def test_chained_transforms_are_short(spark):
+    """Four reference systems in a row, in a second or two once Spark is warm."""
+    g = geo.from_text(F.lit("POINT (7.5 47)"), 4326)
+    one(spark, geo.x(geo.transform(g, 3857)))
+    began = time.time()
+    for srid in (2056, 3857, 21781, 3395, 4326):
+        g = geo.transform(g, srid)
+    assert abs(one(spark, geo.x(g)) - 7.5) < 1e-3 and time.time() - began < 15
+
+
+@pytest.mark.parametrize("wkt", ["POINT 1 1", "POINT (1)", "POINT (1 1, 2 2)", "POINT (1.2.3 1)", "POLYGON (0 0, 1 1)", "LINESTRING ((0 0, 1 1))", "MULTIPOLYGON ((0 0, 0 1, 1 1, 0 0))", "POLYGON ((0 0, 0 1), 1 1)", "CIRCLE (1 1)", ""])
+def test_wrong_geometry_texts(spark, wkt):
+    with pytest.raises(Exception, match="not a geometry"):
+        one(spark, geo.as_text(geo.from_text(F.lit(wkt))))
+
+
+@pytest.mark.parametrize(("wkt", "text"), [("POINT Z (1 2 3)", "POINT (1 2)"), ("polygon empty", "POLYGON EMPTY"), ("MULTIPOINT ((1 2), (3 4))", "MULTIPOINT (1 2, 3 4)"), ("LINEARRING (0 0, 1 0, 1 1, 0 0)", "LINEARRING (0 0, 1 0, 1 1, 0 0)"), ("POINT(1e3 -.5)", "POINT (1000 -0.5)")])
+def test_odd_geometry_texts(spark, wkt, text):
+    assert one(spark, geo.as_text(geo.from_text(F.lit(wkt)))) == text
+
+
+def test_union_of_geometries(spark):
+    a = spark.createDataFrame([("POINT (1 2)",)], "w string").select(geo.from_text(F.col("w"), 4326).alias("g"))
+    b = spark.createDataFrame([("POINT (222638.98 111325.14)",), (None,)], "w string").select(geo.from_text(F.col("w"), 3857).alias("h"))
+    got = [r.t for r in rel.union_all(a, b, a).select(geo.as_text(geo.transform(F.col("g"), 4326)).alias("t")).collect()]
+    assert got[0] == got[3] == "POINT (1 2)" and got[1].startswith("POINT (1.99999") and got[2] is None
+    for wrong in (a.select(geo.from_text(F.lit("POINT (1 1)")).alias("g")), a.union(b.limit(1))):
+        with pytest.raises(rel.QueryError):
+            rel.union_all(wrong, b)

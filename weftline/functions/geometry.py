@@ -1,7 +1,9 @@
 """Geometries as columns, and the functions on them, all from built-in functions.
 
 A geometry is a struct: kind, shapes (polygons or other parts, each an array of rings
-or one array of points) and srid. Lengths and areas are planar, in units of the srid.
+or one array of points) and srid. An empty geometry has no shapes. Lengths and areas are
+planar, in units of the srid. Every function binds its argument once, as the element of
+a one-element array, so that chained calls don't repeat each other's expressions.
 """
 
 from __future__ import annotations
@@ -13,41 +15,75 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 POINTS = "array<array<array<struct<x:double,y:double>>>>"
-KINDS = ("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
+TYPE = f"struct<kind:string,shapes:{POINTS},srid:int>"
+KINDS = ("POINT", "LINESTRING", "LINEARRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
 RADIUS = 6378137.0
+#: Fixed value: the first eccentricity of the ellipsoid of 1984.
+ECCENTRICITY = 0.0818191908426215
+NUMBER = r"[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:E[-+]?[0-9]+)?"
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def from_text(wkt: Column, srid: int | None = None) -> Column:
-    """A geometry from its text; an error for what isn't one, null for null."""
-    text = F.regexp_replace(F.upper(F.trim(wkt)), r"\s+", " ")
-    kind = F.regexp_extract(text, r"^([A-Z]+) ?\(", 1)
-    body = F.regexp_extract(text, r"^[A-Z]+ ?\((.*)\)$", 1)
-    flat = F.regexp_replace(body, "[()]", "")
-    number = r"-?[0-9.]+(?:E[+-]?[0-9]+)?"
-    legal = kind.isin(*KINDS) & flat.rlike(f"^ ?{number} {number}(?: ?, ?{number} {number})* ?$")
+    """A geometry from its text; an error for what isn't one, null for null.
 
+    A third coordinate is left out. Collections of geometries aren't supported.
+    """
     def points(part: Column) -> Column:
+        def point(p: Column) -> Column:
+            return F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y"))
+
         pairs = F.split(F.regexp_replace(part, "[()]", ""), ",")
-        return F.transform(pairs, lambda p: F.struct(F.split(F.trim(p), " ")[0].cast("double").alias("x"), F.split(F.trim(p), " ")[1].cast("double").alias("y")))
+        return F.transform(pairs, lambda p: _bound(F.split(F.trim(p), " "), point))
 
     def rings(part: Column) -> Column:
         return F.transform(F.split(part, r"\) ?, ?\("), points)
 
-    polygons = F.split(body, r"\) ?\) ?, ?\( ?\(")
-    shapes = (
-        F.when(kind == "MULTIPOLYGON", F.transform(polygons, rings))
-        .when(kind == "POLYGON", F.array(rings(body)))
-        .when(kind == "MULTILINESTRING", F.transform(rings(body), lambda r: F.array(r)))
-        .when(kind == "MULTIPOINT", F.transform(points(body), lambda p: F.array(F.array(p))))
-        .otherwise(F.array(F.array(points(body))))
-    )
-    made = F.struct(kind.alias("kind"), shapes.cast(POINTS).alias("shapes"), F.lit(srid).cast("int").alias("srid"))
-    wrong = F.raise_error(F.concat(F.lit("not a geometry: "), wkt)).cast(f"struct<kind:string,shapes:{POINTS},srid:int>")
-    return F.when(wkt.isNull(), None).when(legal, made).otherwise(wrong)
+    def made(t: Column) -> Column:
+        kind, body = t["kind"], t["body"]
+        polygons = F.split(body, r"\) ?\) ?, ?\( ?\(")
+        shapes = (
+            F.when(t["empty"], F.array().cast(POINTS))
+            .when(kind == "MULTIPOLYGON", F.transform(polygons, rings))
+            .when(kind == "POLYGON", F.array(rings(body)))
+            .when(kind == "MULTILINESTRING", F.transform(rings(body), lambda r: F.array(r)))
+            .when(kind == "MULTIPOINT", F.transform(points(body), lambda p: F.array(F.array(p))))
+            .otherwise(F.array(F.array(points(body))))
+        )
+        # p is a point, r a run of them in parentheses, g a polygon
+        shape = F.regexp_replace(F.regexp_replace(body, r" ?([(),]) ?", "$1"), "[^(),]+", "p")
+        runs = F.regexp_replace(F.regexp_replace(shape, "p(?:,p)*", "r"), r"\(r\)", "R")
+        nested = (
+            F.when(kind == "POINT", shape == "p")
+            .when(kind.isin("LINESTRING", "LINEARRING"), runs == "r")
+            .when(kind == "MULTIPOINT", (runs == "r") | shape.rlike(r"^\(p\)(?:,\(p\))*$"))
+            .when(kind.isin("POLYGON", "MULTILINESTRING"), runs.rlike("^R(?:,R)*$"))
+            .otherwise(F.regexp_replace(F.regexp_replace(runs, "R(?:,R)*", "g"), r"\(g\)", "G").rlike("^G(?:,G)*$"))
+        )
+        numbers = F.forall(F.split(F.regexp_replace(body, "[()]", ""), ","), lambda p: F.trim(p).rlike(f"^{NUMBER} {NUMBER}(?: {NUMBER})?$"))
+        legal = kind.isin(*KINDS) & (t["empty"] | (nested & numbers))
+        wrong = F.raise_error(F.concat(F.lit("not a geometry: "), F.substring(t["text"], 1, 100))).cast(TYPE)
+        done = F.struct(kind.alias("kind"), shapes.cast(POINTS).alias("shapes"), F.lit(srid).cast("int").alias("srid"))
+        return F.when(t["text"].isNull(), None).when(legal, done).otherwise(wrong)
+
+    def parts(text: Column) -> Column:
+        return F.struct(
+            text.alias("text"), F.regexp_extract(text, "^([A-Z]+)", 1).alias("kind"), text.rlike("^[A-Z]+(?: Z)? EMPTY$").alias("empty"),
+            F.regexp_extract(text, r"^[A-Z]+(?: Z)? ?\((.*)\)$", 1).alias("body"),
+        )
+
+    text = F.regexp_replace(F.upper(F.trim(wkt)), r"\s+", " ")
+    return _bound(_bound(text, parts), made)
 
 
 def set_srid(g: Column, srid: int) -> Column:
-    _known(srid)
+    """A geometry under another label; its coordinates stay."""
+    if srid not in LABELS:
+        _known(srid)
     return g.withField("srid", F.lit(srid).cast("int"))
 
 
@@ -60,12 +96,12 @@ def _all_points(g: Column) -> Column:
 
 
 def x(g: Column) -> Column:
-    """The least x of the bounds."""
+    """The least x of the bounds; null if empty."""
     return F.array_min(F.transform(_all_points(g), lambda p: p["x"]))
 
 
 def y(g: Column) -> Column:
-    """The least y of the bounds."""
+    """The least y of the bounds; null if empty."""
     return F.array_min(F.transform(_all_points(g), lambda p: p["y"]))
 
 
@@ -75,8 +111,10 @@ def _sum(items: Column, of: Callable[[Column], Column]) -> Column:
 
 def _over_edges(ring: Column, of: Callable[[Column, Column], Column]) -> Column:
     """The sum of ``of`` over neighbouring points."""
-    edges = F.arrays_zip(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))).alias("a"), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))).alias("b"))
-    return _sum(edges, lambda e: of(e["a"], e["b"]))
+    def over(points: Column) -> Column:
+        return _sum(F.zip_with(points, F.slice(points, 2, F.size(points)), lambda a, b: F.when(b.isNotNull(), of(a, b)).otherwise(0.0)), lambda v: v)
+
+    return _bound(ring, over)
 
 
 def _cross(a: Column, b: Column) -> Column:
@@ -91,13 +129,17 @@ def _with_holes(shape: Column, of: Callable[[Column], Column]) -> Column:
     return of(shape[0]) - _sum(F.slice(shape, 2, F.greatest(F.size(shape) - 1, F.lit(0))), of)
 
 
+def _area(g: Column) -> Column:
+    return F.when(g["kind"].endswith("POLYGON"), _sum(g["shapes"], lambda s: _with_holes(s, _ring_area))).when(g.isNotNull(), 0.0)
+
+
 def area(g: Column) -> Column:
     """Outer rings without their holes; 0 for points and lines."""
-    return F.when(g["kind"].isin("POLYGON", "MULTIPOLYGON"), _sum(g["shapes"], lambda s: _with_holes(s, _ring_area))).when(g.isNotNull(), 0.0)
+    return _bound(g, _area)
 
 
 def centroid(g: Column) -> Column:
-    """By area for polygons, by length for lines, the mean for points."""
+    """By area for polygons, by length for lines, the mean for points; the mean too where area or length is 0."""
     def moment(axis: str) -> Callable[[Column], Column]:
         def of(ring: Column) -> Column:
             return F.signum(_over_edges(ring, _cross)) * _over_edges(ring, lambda a, b: (a[axis] + b[axis]) * _cross(a, b)) / 6
@@ -106,18 +148,21 @@ def centroid(g: Column) -> Column:
     def line(a: Column, b: Column) -> Column:
         return F.sqrt((b["x"] - a["x"]) ** 2 + (b["y"] - a["y"]) ** 2)
 
-    lines = F.flatten(g["shapes"])
-    total = _sum(lines, lambda r: _over_edges(r, line))
-    points = _all_points(g)
+    def middle(g: Column) -> Column:
+        lines, points = F.flatten(g["shapes"]), _all_points(g)
+        whole, total = _area(g), _sum(lines, lambda r: _over_edges(r, line))
+
+        def at(axis: str) -> Column:
+            by_area = _sum(g["shapes"], lambda s: _with_holes(s, moment(axis))) / whole
+            by_length = _sum(lines, lambda r: _over_edges(r, lambda a, b: line(a, b) * (a[axis] + b[axis]) / 2)) / total
+            mean = _sum(points, lambda p: p[axis]) / F.size(points)
+            return F.when(g["kind"].endswith("POLYGON") & (whole > 0), by_area).when(g["kind"].rlike("^(MULTI)?LINE") & (total > 0), by_length).otherwise(mean)
 
-    def at(axis: str) -> Column:
-        by_area = _sum(g["shapes"], lambda s: _with_holes(s, moment(axis))) / area(g)
-        by_length = _sum(lines, lambda r: _over_edges(r, lambda a, b: line(a, b) * (a[axis] + b[axis]) / 2)) / total
-        mean = _sum(points, lambda p: p[axis]) / F.size(points)
-        return F.when(g["kind"].endswith("POLYGON"), by_area).when(g["kind"].endswith("LINESTRING"), by_length).otherwise(mean)
+        point = F.array(F.array(F.array(F.struct(at("x").alias("x"), at("y").alias("y")))))
+        shapes = F.when(F.size(points) > 0, point.cast(POINTS)).otherwise(F.array().cast(POINTS))
+        return F.when(g.isNotNull(), F.struct(F.lit("POINT").alias("kind"), shapes.alias("shapes"), g["srid"].alias("srid")))
 
-    point = F.array(F.array(F.array(F.struct(at("x").alias("x"), at("y").alias("y")))))
-    return F.when(g.isNotNull(), F.struct(F.lit("POINT").alias("kind"), point.cast(POINTS).alias("shapes"), g["srid"].alias("srid")))
+    return _bound(g, middle)
 
 
 def as_text(g: Column) -> Column:
@@ -130,29 +175,38 @@ def as_text(g: Column) -> Column:
     def rings(shape: Column) -> Column:
         return F.concat(F.lit("("), F.array_join(F.transform(shape, points), "), ("), F.lit(")"))
 
-    parts = F.transform(g["shapes"], rings)
-    body = (
-        F.when(g["kind"].isin("POINT", "LINESTRING"), points(g["shapes"][0][0]))
-        .when(g["kind"] == "MULTIPOINT", points(_all_points(g)))
-        .when(g["kind"].isin("POLYGON", "MULTILINESTRING"), F.array_join(parts, ", "))
-        .otherwise(F.concat(F.lit("("), F.array_join(parts, "), ("), F.lit(")")))
-    )
-    return F.concat(g["kind"], F.lit(" ("), body, F.lit(")"))
+    def text(g: Column) -> Column:
+        parts = F.transform(g["shapes"], rings)
+        body = (
+            F.when(g["kind"].isin("POINT", "LINESTRING", "LINEARRING"), points(g["shapes"][0][0]))
+            .when(g["kind"] == "MULTIPOINT", points(_all_points(g)))
+            .when(g["kind"].isin("POLYGON", "MULTILINESTRING"), F.array_join(parts, ", "))
+            .otherwise(F.concat(F.lit("("), F.array_join(parts, "), ("), F.lit(")")))
+        )
+        return F.when(F.size(g["shapes"]) == 0, F.concat(g["kind"], F.lit(" EMPTY"))).otherwise(F.concat(g["kind"], F.lit(" ("), body, F.lit(")")))
+
+    return _bound(g, text)
 
 
 def as_geojson(g: Column) -> Column:
     """A GeoJSON object as text; coordinates nest as deep as the kind needs."""
-    pairs = F.transform(g["shapes"], lambda s: F.transform(s, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
-    coordinates = (
-        F.when(g["kind"] == "POINT", F.to_json(pairs[0][0][0]))
-        .when(g["kind"] == "LINESTRING", F.to_json(pairs[0][0]))
-        .when(g["kind"] == "POLYGON", F.to_json(pairs[0]))
-        .when(g["kind"] == "MULTIPOINT", F.to_json(F.flatten(F.flatten(pairs))))
-        .when(g["kind"] == "MULTILINESTRING", F.to_json(F.flatten(pairs)))
-        .otherwise(F.to_json(pairs))
-    )
-    kinds = F.create_map(*(F.lit(x) for name in ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon") for x in (name.upper(), name)))
-    return F.concat(F.lit('{"type":"'), kinds[g["kind"]], F.lit('","coordinates":'), coordinates, F.lit("}"))
+    names = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")
+    kinds = F.create_map(*(F.lit(x) for name in names for x in (name.upper(), name)), F.lit("LINEARRING"), F.lit("LineString"))
+
+    def text(g: Column) -> Column:
+        pairs = F.transform(g["shapes"], lambda s: F.transform(s, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+        coordinates = (
+            F.when(F.size(g["shapes"]) == 0, F.lit("[]"))
+            .when(g["kind"] == "POINT", F.to_json(pairs[0][0][0]))
+            .when(g["kind"].isin("LINESTRING", "LINEARRING"), F.to_json(pairs[0][0]))
+            .when(g["kind"] == "POLYGON", F.to_json(pairs[0]))
+            .when(g["kind"] == "MULTIPOINT", F.to_json(F.flatten(F.flatten(pairs))))
+            .when(g["kind"] == "MULTILINESTRING", F.to_json(F.flatten(pairs)))
+            .otherwise(F.to_json(pairs))
+        )
+        return F.concat(F.lit('{"type":"'), kinds[g["kind"]], F.lit('","coordinates":'), coordinates, F.lit("}"))
+
+    return _bound(g, text)
 
 
 def _to_mercator(p: Column) -> tuple[Column, Column]:
@@ -187,8 +241,38 @@ def _from_old_swiss(p: Column) -> tuple[Column, Column]:
     return _from_swiss({"x": p["x"] + 2000000, "y": p["y"] + 1000000})
 
 
+def _to_ellipsoid_mercator(p: Column) -> tuple[Column, Column]:
+    sine = F.sin(F.radians(p["y"])) * ECCENTRICITY
+    stretch = F.tan(F.lit(math.pi / 4) + F.radians(p["y"]) / 2) * F.pow((1 - sine) / (1 + sine), ECCENTRICITY / 2)
+    return F.radians(p["x"]) * RADIUS, F.log(stretch) * RADIUS
+
+
+def _from_ellipsoid_mercator(p: Column) -> tuple[Column, Column]:
+    """The latitude by the usual series in the conformal latitude."""
+    e2 = ECCENTRICITY**2
+    chi = math.pi / 2 - 2 * F.atan(F.exp(-p["y"] / RADIUS))
+    series = {
+        2: e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360, 4: 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520,
+        6: 7 * e2**3 / 120 + 81 * e2**4 / 1120, 8: 4279 * e2**4 / 161280,
+    }
+    latitude = chi
+    for k, c in series.items():
+        latitude = latitude + c * F.sin(chi * k)
+    return F.degrees(p["x"] / RADIUS), F.degrees(latitude)
+
+
 #: srid -> (from longitude and latitude, to them); 4326 is what all pass through
-PROJECTIONS = {4326: (None, None), 3857: (_to_mercator, _from_mercator), 2056: (_to_swiss, _from_swiss), 21781: (_old_swiss, _from_old_swiss)}
+PROJECTIONS = {
+    4326: (None, None), 3857: (_to_mercator, _from_mercator), 3395: (_to_ellipsoid_mercator, _from_ellipsoid_mercator),
+    2056: (_to_swiss, _from_swiss), 21781: (_old_swiss, _from_old_swiss),
+}
+#: (from, to) -> a way that doesn't lead through longitude and latitude
+DIRECT = {
+    (2056, 21781): lambda p: (p["x"] - 2000000, p["y"] - 1000000),
+    (21781, 2056): lambda p: (p["x"] + 2000000, p["y"] + 1000000),
+}
+#: Reference systems that geometries may be labelled with, without a way to or from them.
+LABELS = {2249}
 
 
 def _known(number: int) -> None:
@@ -196,23 +280,33 @@ def _known(number: int) -> None:
         raise ValueError(f"unknown reference system {number}")
 
 
-def _mapped(g: Column, by: Callable | None) -> Column:
-    if by is None:
-        return g["shapes"]
+def transform(g: Column, target: int) -> Column:
+    """The geometry in another reference system; an error where its own isn't known."""
+    _known(target)
 
-    def point(p: Column) -> Column:
-        a, b = by(p)
+    def pair(by: Callable | None, p: Column) -> Column:
+        a, b = by(p) if by else (p["x"], p["y"])
         return F.struct(a.alias("x"), b.alias("y"))
 
-    return F.transform(g["shapes"], lambda s: F.transform(s, lambda r: F.transform(r, point)))
+    def moved(g: Column) -> Column:
+        def point(p: Column) -> Column:
+            """Through longitude and latitude, by the way back from the geometry's own system."""
+            geographic = F.lit(None).cast("struct<x:double,y:double>")
+            for number, (_, back) in PROJECTIONS.items():
+                geographic = F.when(g["srid"] == number, pair(back, p)).otherwise(geographic)
+            out = _bound(geographic, lambda q: pair(PROJECTIONS[target][0], q)) if target != 4326 else geographic
+            for (start, end), by in DIRECT.items():
+                out = F.when(g["srid"] == start, pair(by, p)).otherwise(out) if end == target else out
+            return out
 
+        points = F.transform(g["shapes"], lambda s: F.transform(s, lambda r: F.transform(r, point)))
+        unknown = F.raise_error(F.lit("the geometry has no known reference system")).cast(POINTS)
+        shapes = F.when(g["srid"] == target, g["shapes"]).when(g["srid"].isin(*PROJECTIONS), points.cast(POINTS)).otherwise(unknown)
+        return F.when(g.isNotNull(), F.struct(g["kind"].alias("kind"), shapes.alias("shapes"), F.lit(target).cast("int").alias("srid")))
 
-def transform(g: Column, target: int) -> Column:
-    """The geometry in another reference system; an error where its own isn't known."""
-    _known(target)
-    missing = F.raise_error(F.lit("the geometry has no known reference system")).cast(POINTS)
-    geographic = missing
-    for number, (_, back) in PROJECTIONS.items():
-        geographic = F.when(g["srid"] == number, _mapped(g, back)).otherwise(geographic)
-    moved = F.when(g["srid"] == target, g["shapes"]).otherwise(_mapped({"shapes": geographic}, PROJECTIONS[target][0]))
-    return F.when(g.isNotNull(), F.struct(g["kind"].alias("kind"), moved.cast(POINTS).alias("shapes"), F.lit(target).cast("int").alias("srid")))
+    return _bound(g, moved)
+
+
+def is_geometry(kind: str) -> bool:
+    """Whether a type, as ``dtypes`` names it, is that of a geometry."""
+    return kind == TYPE

@@ -10,6 +10,7 @@ from pyspark.sql.types import DataType, NumericType, StringType
 from pyspark.sql.window import Window
 
 from weftline.functions.text import date_pattern
+from weftline.stored import written
 
 _INTEGERS = {"INTEGER": "int", "BIGINT": "bigint", "SMALLINT": "smallint"}
 
@@ -50,16 +51,30 @@ def to_date(value: Column, strftime: str | None = None) -> Column:
     return parsed.cast("timestamp_ntz")
 
 
-def with_range(rows: DataFrame, name: str, order: Sequence[str | Column], start: int = 1, step: int = 1) -> DataFrame:
-    """``rows`` numbered along ``order``.
+def numbered(rows: DataFrame, name: str, start: int = 1, step: int = 1) -> DataFrame:
+    """``rows`` numbered in the order that they have.
 
-    Rows are sorted into ranges and numbered within these; only the ranges' counts
-    meet in one place, so the numbers cost one sort at any size.
+    They are written once to the shared folder with the place of each in its partition;
+    so the order is fixed before it is read twice, for the partitions' counts and for the
+    numbers. Only the counts meet in one place.
     """
-    placed = rows.orderBy(*order).withColumn("_part", F.spark_partition_id())
-    placed = placed.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = placed.join(counts, "_part")
-    return out.withColumn(name, (start + step * (F.col("_before") + F.col("_in") - 1)).cast("bigint")).drop("_part", "_in", "_before")
+    place = _free("place", [*rows.columns, name])
+    stored = written(rows.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(place, 33).alias("part")
+    counts = stored.groupBy(part).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(F.col("part").alias(_free("part", [*stored.columns, name])), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(_free("before", [*stored.columns, name])))
+    out = stored.join(first, F.shiftright(place, 33) == F.col(first.columns[0]))
+    within = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn(name, (start + step * (F.col(first.columns[1]) + within)).cast("bigint")).drop(place, *first.columns)
+
+
+def _free(stem: str, names: Sequence[str]) -> str:
+    """A column name that isn't among ``names``."""
+    taken = {c.lower() for c in names}
+    return next(name for name in (stem + "_" * n for n in range(len(taken) + 1)) if name.lower() not in taken)
+
+
+def with_range(rows: DataFrame, name: str, order: Sequence[str | Column], start: int = 1, step: int = 1) -> DataFrame:
+    """``rows`` numbered along ``order``: one sort, at any size."""
+    return numbered(rows.orderBy(*order), name, start, step)

@@ -1,6 +1,7 @@
 """Relational operators with the transformation language's rules for nulls, names and types.
 
-All lower to plain DataFrame plans; nothing here runs a job. A predicate that a null
+All lower to plain DataFrame plans; only a union of geometries and a page's totals run
+a job. A predicate that a null
 makes unknown keeps no row and takes no branch, just as a false one; so those without
 a negation are left as they are, and their comparisons reach the scan. Only the
 negations need the null made false first.
@@ -14,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import geometry
+
 
 class QueryError(ValueError):
     """A query that can't be run, found before any job starts."""
@@ -102,14 +105,33 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column, Column]],
     return left.join(right, reduce(lambda x, y: x & y, (a.eqNullSafe(b) for a, b in on)), how)
 
 
+def _one_srid(rows: DataFrame, name: str) -> int | None:
+    """The reference system of a geometry column; none if it has no geometries."""
+    found = rows.agg(F.min(f"`{name}`.srid").alias("low"), F.max(f"`{name}`.srid").alias("high"), F.bool_or(F.col(f"`{name}`").isNotNull() & F.col(f"`{name}`.srid").isNull()).alias("none")).first()
+    if found["none"]:
+        raise QueryError(f'"{name}" has geometries without a reference system')
+    if found["low"] != found["high"]:
+        raise QueryError(f'"{name}" has geometries in several reference systems')
+    return found["low"]
+
+
 def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """All rows by position under the first one's names; counts and types must agree."""
+    """All rows by position under the first one's names; counts and types must agree.
+
+    Geometries of the others are brought into the reference system of the first one's,
+    which one aggregate over its column finds; one without a system is an error.
+    """
     kinds = [f.dataType for f in first.schema]
+    shapes = [i for i, (_, kind) in enumerate(first.dtypes) if geometry.is_geometry(kind)]
     for other in others:
         if [f.dataType for f in other.schema] != kinds:
             raise QueryError(f"union of {first.schema.simpleString()} and {other.schema.simpleString()}")
-        first = first.union(other)
-    return first
+    systems = {i: _one_srid(first, first.columns[i]) for i in shapes} if others else {}
+    out = first
+    for other in others:
+        columns = [F.col(f"`{name}`") for name in other.columns]
+        out = out.union(other.select(*(geometry.transform(x, systems[i]).alias(n) if systems.get(i) else x for i, (x, n) in enumerate(zip(columns, other.columns, strict=True)))))
+    return out
 
 
 def order_by(rows: DataFrame, *keys: tuple[int | str | Column, bool]) -> DataFrame:
@@ -132,3 +154,8 @@ def preview(rows: DataFrame, count: int = 3, page: int = 1) -> DataFrame:
     """One page of a result as text, nulls shown as NULL."""
     text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")).alias(c) for c in rows.columns]
     return rows.offset(count * (page - 1)).limit(count).select(*text)
+
+
+def preview_with_totals(rows: DataFrame, count: int = 3, page: int = 1) -> tuple[DataFrame, int, dict[str, str]]:
+    """A page, the number of all rows, and each column's type."""
+    return preview(rows, count, page), rows.count(), dict(rows.dtypes)

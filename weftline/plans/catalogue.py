@@ -58,11 +58,11 @@ def _over_labelled(name: str, condition: Callable, sql: str) -> None:
 
 
 @_query("""SELECT o_orderkey AS id, c_name AS customer, n_name AS nation, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'small' END AS size
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus IN ('O', 'F') AND regexp_matches(n_name, '^[A-M]')""")
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus IN ('O', 'F') AND regexp_matches(n_name, '^[A-N].*[02468]$')""")
 def flagship_order_report(t):
     rows = rel.join(t("orders"), t("customer"), [(c("o_custkey"), c("c_custkey"))])
     rows = rel.join(rows, t("nation"), [(c("c_nationkey"), c("n_nationkey"))])
-    rows = rows.where(rel.in_list(c("o_orderstatus"), F.lit("O"), F.lit("F")) & rel.like(c("n_name"), "^[A-M]"))
+    rows = rows.where(rel.in_list(c("o_orderstatus"), F.lit("O"), F.lit("F")) & rel.like(c("n_name"), "^[A-N].*[02468]$"))
     size = rel.case(rows, [(rel.compare(c("o_totalprice"), ">", F.lit(200000)), F.lit("large")), (rel.compare(c("o_totalprice"), ">", F.lit(100000)), F.lit("medium"))], F.lit("small"))
     return rel.order_by(rel.project(rows, ("id", c("o_orderkey")), ("customer", c("c_name")), ("nation", c("n_name")), ("size", size)), ("nation", True), (1, False))
 
@@ -73,7 +73,7 @@ _simple("dup_names", "customer", lambda: [("a", c("c_custkey")), ("a", c("c_name
 _simple("where_cmp", "lineitem", lambda: [("k", c("l_orderkey")), ("q", c("l_quantity"))], "l_orderkey AS k, l_quantity AS q", lambda: rel.compare(c("l_quantity"), "<=", F.lit(10)) & rel.compare(c("l_discount"), ">", F.lit(0.05)), "l_quantity <= 10 AND l_discount > 0.05")
 _simple("where_and_or", "lineitem", lambda: [("k", c("l_orderkey"))], "l_orderkey AS k", lambda: rel.equal(c("l_returnflag"), F.lit("R")) | (rel.equal(c("l_linestatus"), F.lit("O")) & rel.compare(c("l_quantity"), "<", F.lit(5))), "l_returnflag = 'R' OR (l_linestatus = 'O' AND l_quantity < 5)")
 _over_labelled("where_not_equal_null", lambda: rel.not_equal(c("l__quality"), F.lit(1)), "NOT coalesce(quality = 1, false)")
-_simple("like_regex", "part", lambda: [("k", c("p_partkey"))], "p_partkey AS k", lambda: rel.like(c("p_type"), "^E.+a"), "regexp_matches(p_type, '^E.+a')")
+_simple("like_regex", "part", lambda: [("k", c("p_partkey"))], "p_partkey AS k", lambda: rel.like(c("p_name"), "^[a-h].+ .*[en]g?e?[tr]$"), "regexp_matches(p_name, '^[a-h].+ .*[en]g?e?[tr]$')")
 _simple("not_like_regex", "part", lambda: [("k", c("p_partkey"))], "p_partkey AS k", lambda: rel.like(c("p_type"), "[AE]$", True), "NOT regexp_matches(p_type, '[AE]$')")
 _simple("in_list", "orders", lambda: [("k", c("o_orderkey"))], "o_orderkey AS k", lambda: rel.in_list(c("o_orderstatus"), F.lit("O"), F.lit("P")), "o_orderstatus IN ('O', 'P')")
 _over_labelled("not_in_null", lambda: rel.not_in_list(c("l__quality"), F.lit(1), F.lit(None).cast("int")), "NOT coalesce(quality = 1, false)")
@@ -84,13 +84,13 @@ _over_labelled("not_predicate_fn", lambda: rel.holds(c("l__toxic") == 1, negated
 
 
 def _joined(name: str, how: str) -> None:
+    """Documents with their labels; some have none."""
     def build(t) -> DataFrame:
-        part = t("customer").where(c("c_custkey") % 3 == 0)
-        rows = rel.join(t("orders"), part, [(c("o_custkey"), c("c_custkey"))], how)
-        return rel.project(rows, ("o", c("o_orderkey")), ("n", c("c_name")))
+        rows = rel.join(t("documents").select(c("doc_id").alias("d")), t("labels"), [(c("d"), c("doc_id"))], how)
+        return rel.project(rows, ("d", c("d")), ("q", c("quality")))
 
     build.__name__ = name
-    _query(f"SELECT o_orderkey AS o, c_name AS n FROM orders {how.upper()} JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON o_custkey IS NOT DISTINCT FROM c_custkey")(build)
+    _query(f"SELECT documents.doc_id AS d, quality AS q FROM documents {how.upper()} JOIN labels l ON documents.doc_id IS NOT DISTINCT FROM l.doc_id")(build)
 
 
 for _how in ("inner", "left", "right", "full"):
@@ -115,9 +115,10 @@ def self_join(t):
     return rel.project(rel.join(a, b, [(c("a__n_regionkey"), c("b__n_regionkey"))]), ("a", c("a__n_name")), ("b", c("b__n_name")))
 
 
-@_query("SELECT a.n_name AS a, r_name AS b FROM nation a JOIN region ON lower(substr(a.n_name, 1, 1)) = lower(substr(r_name, 1, 1))")
+@_query("SELECT p_partkey AS a, r_name AS b FROM part JOIN region ON lower(substr(p_name, 1, 1)) = lower(substr(r_name, 1, 1))")
 def join_expr_key(t):
-    return rel.project(rel.join(t("nation"), t("region"), [(F.lower(text.get(c("n_name"), 0)), F.lower(text.get(c("r_name"), 0)))]), ("a", c("n_name")), ("b", c("r_name")))
+    rows = rel.join(t("part"), t("region"), [(F.lower(text.get(c("p_name"), 0)), F.lower(text.get(c("r_name"), 0)))])
+    return rel.project(rows, ("a", c("p_partkey")), ("b", c("r_name")))
 
 
 @_query("""WITH k AS (SELECT n_name, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS k FROM nation), m AS (SELECT r_name, CASE WHEN r_regionkey > 1 THEN r_regionkey END AS m FROM region)
@@ -133,19 +134,27 @@ def union_all(t):
     return rel.union_all(rel.project(t("customer"), ("name", c("c_name")), ("nation", c("c_nationkey"))), t("supplier").select("s_name", "s_nationkey"))
 
 
-@_query("SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier")
+@_query("""SELECT name, row_number() OVER (ORDER BY name DESC) AS place FROM (SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier)""")
 def union_order(t):
-    return rel.order_by(rel.union_all(rel.project(t("customer"), ("name", c("c_name"))), t("supplier").select("s_name")), ("name", False))
+    both = rel.union_all(rel.project(t("customer"), ("name", c("c_name"))), t("supplier").select("s_name"))
+    return misc.numbered(rel.order_by(both, ("name", False)), "place")
 
 
-@_query("SELECT o_orderkey AS k, o_totalprice AS p FROM orders")
+@_query("SELECT o_orderkey AS k, o_totalprice AS p, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
 def order_position(t):
-    return rel.order_by(rel.project(t("orders"), ("k", c("o_orderkey")), ("p", c("o_totalprice"))), (2, False), (1, True))
+    return misc.numbered(rel.order_by(rel.project(t("orders"), ("k", c("o_orderkey")), ("p", c("o_totalprice"))), (2, False), (1, True)), "place")
 
 
-@_query("SELECT o_orderkey AS k FROM orders")
+@_query("SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
 def order_hidden(t):
-    return rel.project(rel.order_by(t("orders"), (c("o_orderdate"), False)), ("k", c("o_orderkey")))
+    return misc.numbered(rel.project(rel.order_by(t("orders"), (c("o_orderdate"), False), (c("o_orderkey"), True)), ("k", c("o_orderkey"))), "place")
+
+
+@_query(f"""SELECT documents.doc_id AS k, row_number() OVER (ORDER BY quality DESC NULLS LAST, documents.doc_id) AS down, row_number() OVER (ORDER BY quality NULLS LAST, documents.doc_id) AS up FROM {LABELLED}""")
+def order_nulls(t):
+    rows = _labelled(t)
+    down = misc.numbered(rel.order_by(rows, ("l__quality", False), ("d__doc_id", True)), "down")
+    return misc.numbered(rel.order_by(down, ("l__quality", True), ("d__doc_id", True)), "up").select(c("d__doc_id").alias("k"), "down", "up")
 
 
 @_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'few' WHEN l_quantity < 30 THEN 'some' ELSE 'many' END AS size, CASE WHEN l_returnflag = 'R' THEN 'back' END AS back FROM lineitem")
@@ -224,10 +233,39 @@ def geom_centroid(t):
     return _geometry(t).select("k", geo.centroid(c("g")).alias("m")).select("k", F.round(geo.x(c("m")), 6).alias("x"), F.round(geo.y(c("m")), 6).alias("y"))
 
 
-@_query("SELECT p_partkey AS k, 'POINT (' || p_partkey || ' ' || (p_partkey / 2.0)::DOUBLE::VARCHAR || ')' AS w FROM part WHERE p_partkey % 2 = 1")
+_number = "CASE WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR ELSE {0}::DOUBLE::VARCHAR END"
+
+
+@_query(f"SELECT p_partkey AS k, 'POINT (' || p_partkey || ' ' || {_number.format('(p_partkey / 2.0)')} || ')' AS w FROM part")
 def geom_astext(t):
     wkt = F.format_string("point(%s   %s)", c("p_partkey").cast("string"), (c("p_partkey") / 2.0).cast("string"))
-    return t("part").where("p_partkey % 2 = 1").select(c("p_partkey").alias("k"), geo.as_text(geo.from_text(wkt)).alias("w"))
+    return t("part").select(c("p_partkey").alias("k"), geo.as_text(geo.from_text(wkt)).alias("w"))
+
+
+def _kinds(t) -> DataFrame:
+    """A line of 3-4-5 steps, two points, two lines, or two squares of which one has a hole, beside each part's key."""
+    k = c("p_partkey").cast("string")
+    k2 = (c("p_partkey") + 2).cast("string")
+    k4 = (c("p_partkey") + 4).cast("string")
+    wkt = (
+        F.when(c("p_partkey") % 4 == 0, F.format_string("LINESTRING (%1$s 0, %1$s 5, %2$s 5)", k, k4))
+        .when(c("p_partkey") % 4 == 1, F.format_string("MULTIPOINT ((%1$s 1), (%2$s 2))", k, k4))
+        .when(c("p_partkey") % 4 == 2, F.format_string("MULTILINESTRING ((%1$s 0, %2$s 0), (%1$s 3, %2$s 3))", k, k4))
+        .otherwise(F.format_string("MULTIPOLYGON (((%1$s 0, %1$s 4, %3$s 4, %3$s 0, %1$s 0), (%1$s 0, %1$s 2, %2$s 2, %2$s 0, %1$s 0)), ((%1$s 10, %1$s 14, %3$s 14, %3$s 10, %1$s 10)))", k, k2, k4))
+    )
+    return t("part").select(c("p_partkey").alias("k"), geo.from_text(wkt, 2056).alias("g"))
+
+
+@_query("""SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 3 THEN 28 ELSE 0 END::DOUBLE AS area, CASE p_partkey % 4 WHEN 1 THEN 1 ELSE 0 END::DOUBLE AS low,
+round(p_partkey + CASE p_partkey % 4 WHEN 0 THEN 8.0 / 9 WHEN 3 THEN (16 * 2.0 - 4 * 1 + 16 * 2.0) / 28 ELSE 2 END, 6) AS x,
+round(CASE p_partkey % 4 WHEN 0 THEN (5 * 2.5 + 4 * 5.0) / 9 WHEN 3 THEN (16 * 2.0 - 4 * 1 + 16 * 12.0) / 28 ELSE 1.5 END, 6) AS y,
+CASE p_partkey % 4 WHEN 0 THEN 'LINESTRING (' || p_partkey || ' 0, ' || p_partkey || ' 5, ' || (p_partkey + 4) || ' 5)' WHEN 1 THEN 'MULTIPOINT (' || p_partkey || ' 1, ' || (p_partkey + 4) || ' 2)'
+WHEN 2 THEN 'MULTILINESTRING ((' || p_partkey || ' 0, ' || (p_partkey + 4) || ' 0), (' || p_partkey || ' 3, ' || (p_partkey + 4) || ' 3))'
+ELSE replace(replace(replace('MULTIPOLYGON (((a 0, a 4, c 4, c 0, a 0), (a 0, a 2, b 2, b 0, a 0)), ((a 10, a 14, c 14, c 10, a 10)))', 'a', p_partkey::VARCHAR), 'b', (p_partkey + 2)::VARCHAR), 'c', (p_partkey + 4)::VARCHAR) END AS w FROM part""")
+def geom_kinds(t):
+    g, m = c("g"), c("m")
+    rows = _kinds(t).select("k", "g", geo.centroid(g).alias("m"))
+    return rows.select("k", geo.area(g).alias("area"), geo.y(g).alias("low"), F.round(geo.x(m), 6).alias("x"), F.round(geo.y(m), 6).alias("y"), geo.as_text(g).alias("w"))
 
 
 @_query("SELECT p_partkey AS k, round(radians(p_partkey % 170) * 6378137.0, 3) AS x, round(ln(tan(pi() / 4 + radians(p_partkey % 80 + 1) / 2)) * 6378137.0, 3) AS y FROM part")
@@ -237,6 +275,34 @@ def geom_transform(t):
     return t("part").select(c("p_partkey").alias("k"), moved.alias("g")).select("k", F.round(geo.x(c("g")), 3).alias("x"), F.round(geo.y(c("g")), 3).alias("y"))
 
 
+_swiss = """u AS (SELECT p_partkey AS k, 6 + (p_partkey % 400) / 100.0 AS lon, 46 + (p_partkey % 170) / 100.0 AS lat FROM part),
+v AS (SELECT *, (lon * 3600 - 26782.5) / 10000 AS u, (lat * 3600 - 169028.66) / 10000 AS v FROM u),
+w AS (SELECT *, 2600072.37 + 211455.93 * u - 10938.51 * u * v - 0.36 * u * v * v - 44.54 * u * u * u AS e, 1200147.07 + 308807.95 * v + 3745.25 * u * u + 76.63 * v * v - 194.56 * u * u * v + 119.79 * v * v * v AS n FROM v)"""
+
+
+@_query(f"""WITH {_swiss} SELECT k, round(e, 2) AS e, round(n, 2) AS n, round(e - 2000000, 2) AS e_old, round(n - 1000000, 2) AS n_old, round(lon, 3) AS lon, round(lat, 3) AS lat,
+round(radians(lon) * 6378137.0, 2) AS x, round((ln(tan(pi() / 4 + radians(lat) / 2)) + 0.0818191908426215 / 2 * ln((1 - 0.0818191908426215 * sin(radians(lat))) / (1 + 0.0818191908426215 * sin(radians(lat))))) * 6378137.0, 2) AS y FROM w""")
+def geom_transform_systems(t):
+    """From longitude and latitude to the Swiss systems, back through both, and to the mercator projection of the ellipsoid and back."""
+    wkt = F.format_string("POINT (%s %s)", (6 + (c("p_partkey") % 400) / 100.0).cast("string"), (46 + (c("p_partkey") % 170) / 100.0).cast("string"))
+    start = geo.from_text(wkt, 4326)
+    new, world = geo.transform(start, 2056), geo.transform(start, 3395)
+    old = geo.transform(new, 21781)
+    back = geo.transform(geo.transform(geo.transform(old, 2056), 3395), 4326)
+    rows = t("part").select(c("p_partkey").alias("k"), new.alias("new"), old.alias("old"), back.alias("back"), world.alias("world"))
+    rounded = [F.round(f(c(g)), digits).alias(name) for g, digits, names in (("new", 2, "e n"), ("old", 2, "e_old n_old"), ("back", 3, "lon lat"), ("world", 2, "x y")) for f, name in zip((geo.x, geo.y), names.split(), strict=True)]
+    return rows.select("k", *rounded)
+
+
+@_query("""SELECT 'c' || c_custkey AS k, 4326::INTEGER AS srid, round((c_custkey % 170)::DOUBLE, 6) AS x, 10.0::DOUBLE AS y FROM customer
+UNION ALL SELECT 's' || s_suppkey, 4326, round(degrees((s_suppkey % 100) * 1000 / 6378137.0), 6), round(degrees(2 * atan(exp(500000 / 6378137.0)) - pi() / 2), 6) FROM supplier""")
+def union_geometries(t):
+    """Points in longitude and latitude, and others in metres, under the first one's reference system."""
+    a = t("customer").select(F.concat(F.lit("c"), c("c_custkey").cast("string")).alias("k"), geo.from_text(F.format_string("POINT (%s 10)", (c("c_custkey") % 170).cast("string")), 4326).alias("g"))
+    b = t("supplier").select(F.concat(F.lit("s"), c("s_suppkey").cast("string")).alias("k"), geo.from_text(F.format_string("POINT (%s 500000)", (c("s_suppkey") % 100 * 1000).cast("string")), 3857).alias("h"))
+    return rel.union_all(a, b).select("k", geo.srid(c("g")).alias("srid"), F.round(geo.x(c("g")), 6).alias("x"), F.round(geo.y(c("g")), 6).alias("y"))
+
+
 @_query("SELECT c_name, sum_open FROM (SELECT c_custkey, c_name FROM customer) JOIN (SELECT o_custkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice END AS sum_open FROM orders) ON o_custkey = c_custkey")
 def view_nested(t):
     orders = t("orders")
