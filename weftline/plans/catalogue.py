@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions import geometry as geo
 from weftline.functions import misc, text
+from weftline.operators import packages
 from weftline.operators import relational as rel
-from weftline.sources import files
+from weftline.sources import features, files, formats
+from weftline.stored import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -321,3 +323,54 @@ def preview_page(t):
 UNION ALL SELECT 'n_name', 'string', max(length(n_name)), NULL, NULL, false FROM nation""")
 def schema_profile(t):
     return files.column_profile(t("nation").select(c("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name"))
+
+
+def _shaped(t) -> DataFrame:
+    """Suppliers with a point each, or with two."""
+    k = c("s_suppkey")
+    point = F.when(k % 3 == 0, F.format_string("MULTIPOINT (%1$s 47, %1$s 48)", (k % 170).cast("string"))).otherwise(F.format_string("POINT (%s 47.5)", (k % 170).cast("string")))
+    return t("supplier").select(c("s_suppkey").alias("k"), F.concat(c("s_name"), F.lit(" <&> \"é\"")).alias("n"), c("s_acctbal").alias("b"), geo.from_text(point, 4326).alias("geometry"))
+
+
+def _through(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as files of a format, and what reading these gives."""
+    path = scratch(rows.sparkSession, name)
+    formats.write(rows, path, name)
+    return formats.read(rows.sparkSession, path, name)
+
+
+_points = "CASE WHEN s_suppkey % 3 = 0 THEN 'MULTIPOINT (' || (s_suppkey % 170) || ' 47, ' || (s_suppkey % 170) || ' 48)' ELSE 'POINT (' || (s_suppkey % 170) || ' 47.5)' END"
+
+
+def _round_trip(name: str, sql: str, number: str = "double") -> None:
+    def build(t) -> DataFrame:
+        back = _through(_shaped(t), name)
+        shape = geo.as_text(c("geometry")) if geo.is_geometry(dict(back.dtypes)["geometry"]) else c("geometry")
+        return back.select(c("k").cast("bigint").alias("k"), "n", F.round(c("b").cast(number), 2).alias("b"), shape.alias("w"))
+
+    build.__name__ = f"{name}_round_trip"
+    _query(f"SELECT s_suppkey AS k, s_name || ' <&> \"é\"' AS n, round(s_acctbal, 2) AS b, {sql} AS w FROM supplier")(build)
+
+
+for _name in ("csv", "json", "xml", "kml", "gml"):
+    _round_trip(_name, _points)
+# one kind of geometries: points become multiples
+_round_trip("geojson", "'MULTIPOINT (' || (s_suppkey % 170) || CASE WHEN s_suppkey % 3 = 0 THEN ' 47, ' || (s_suppkey % 170) || ' 48)' ELSE ' 47.5)' END")
+
+
+@_query("SELECT 'geometry' AS \"column\", 'POINT' AS kind, min(s_suppkey % 170)::DOUBLE AS west, 47::DOUBLE AS south, max(s_suppkey % 170)::DOUBLE AS east, 48::DOUBLE AS north FROM supplier")
+def geometry_bounds(t):
+    return files.geometry_profile(_shaped(t).select("k", "geometry"))
+
+
+@_query("""WITH p AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS owner, s_suppkey % 2 = 0 AS private FROM supplier)
+SELECT id, name FROM p WHERE (owner = 3 OR NOT private) AND contains(lower(name), '1') ORDER BY name DESC NULLS LAST, id LIMIT 20""")
+def package_search(t):
+    rows = t("supplier").select(c("s_suppkey").alias("id"), c("s_name").alias("name"), F.lit("a supplier").alias("description"), c("s_nationkey").alias("owner"), (c("s_suppkey") % 2 == 0).alias("private"))
+    return packages.search(rows, 3, text="1", sort=("name", False)).select("id", "name")
+
+
+@_query("""WITH RECURSIVE r(id) AS (SELECT 1 UNION SELECT p_partkey FROM r JOIN part ON p_partkey // 3 = r.id AND p_partkey > 0) SELECT id::BIGINT AS id FROM r WHERE id <> 1""")
+def package_dependants(t):
+    uses = t("part").where("p_partkey > 0").select(c("p_partkey").alias("user"), F.expr("p_partkey DIV 3").alias("used"))
+    return packages.dependants(uses, uses.sparkSession.createDataFrame([(1,)], "id long"))
