@@ -9,8 +9,13 @@ from weftline.llm.common import observed, removed
 
 
 def _moved(near: DataFrame, least: DataFrame) -> DataFrame:
-    """Each neighbour v of u with the node m that u's neighbours move to."""
-    return near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Each neighbour v of u with the node m that u's neighbours move to.
+
+    The second key, which follows from the first, has both sides dealt out for the join;
+    so the many neighbours of one node can be split over tasks while the job runs.
+    """
+    near, least = (rows.withColumn("h", F.xxhash64("u")) for rows in (near, least))
+    return near.join(least, ["u", "h"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
