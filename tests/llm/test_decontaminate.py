@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from weftline.llm import decontaminate as dec
 
 
@@ -108,3 +111,29 @@ def test_plain_items(spark):
     docs = [(i, f"{filler} {t} {filler}") for i, t in enumerate(texts)] + [(10, f"{filler} ho ho ho y ho ho ho z ho ho ho ho {filler}")]
     got = dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id): r.edits for r in got} == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 4): 0, (10, 1): 2}
+
+
+def test_words_in_another_order_are_another_region(spark):
+    """Two rows of one id whose texts differ in the order of words only, and items without an id."""
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    mixed = "eta alpha theta gamma beta zeta epsilon delta"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {mixed} y"), (None, f"x {mixed} y"), (None, f"x {item} y")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (None, item), (2, mixed)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in dec.leaks(docs, items).collect()}
+    assert got == {(d, i): 0 for d in (1, None) for i in (1, 2, None)}
+
+
+def test_bitmaps_grow(spark):
+    assert [dec.bits_for(n) for n in (0, 10**6, 4 * 10**6, 10**12)] == [24, 24, 26, 28]
+    keys = spark.range(1000).select(F.xxhash64("id").alias("k"))
+    flags = dec.bitmap(keys, 16)
+    own = np.array([r.k for r in keys.collect()]).view(np.uint64)
+    other = np.array([r.k for r in spark.range(1000, 3000).select(F.xxhash64("id").alias("k")).collect()]).view(np.uint64)
+    assert dec._in(flags, own).all() and dec._in(flags, other).mean() < 0.05
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x")], "doc_id long, text string").selectExpr("*", "1 AS _hit", "2 AS wanted", "3 AS item_id", "4 AS `a.b`")
+    items = spark.createDataFrame([(1, "A b c d e f")], "item_id long, text string")
+    out = dec.without_leaks(docs, items)
+    assert out.columns == docs.columns and out.collect() == docs.where("doc_id = 2").collect()

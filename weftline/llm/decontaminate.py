@@ -8,36 +8,45 @@ item's length, rounded down. Words are compared after lower-casing A-Z.
   to its output and moves the pointer on by a random bit of step and word. Windows at
   a small edit distance get outputs at a small Hamming distance.
 * Windows have the size of the largest class (12, 5) that fits into the item; items of
-  fewer than 5 words are too short to tell and aren't searched. Every window of every
-  item and every window of every document is embedded, by eight walks.
+  fewer than 5 words are no passages, as shingles of fewer words aren't elsewhere. Every
+  window of every item and every window of every document is embedded, by eight walks.
 * Each of 8 tables a walk samples 4 (size 5: 3) output positions; one equal sample
   makes a candidate. As every offset within an item is tried, an item is missed only if all
   its windows disagree in all tables. Walks, tables and positions are chosen for a recall
   of TARGET or more at the most allowed edits, at every length of item (random places).
-  Items of 12 words have a single window and are the hardest.
+  Items of 12 words have a single window and are the hardest. Windows of an item's own
+  length would be harder still: a quarter of their words may differ, and the walks of
+  longer windows rarely meet again after so many edits, while of several short windows
+  one has few of them.
 * Neighbouring candidate windows make one region; its exact semi-global edit distance
   to the item decides. A region that lacks more of the item's words than edits are
   allowed has a greater distance and isn't measured.
 
-Document windows go through a fixed-size bitmap of the items' samples (its size
-doesn't depend on the benchmark), and only those that pass are joined to the items.
-Before the walks, windows are left out that have no run of 3 (size 5: 2) consecutive
-words of some item nearby. This loses no leak: at most n // 4 edits leave n - n // 4 of an
-item's n words in at most n // 4 + 1 runs, so that one has 3 words or more if n is 12 or
-more, and 2 if n is 5 or more. All windows within two sizes of the run are walked.
-
-Defined results: null or empty texts and items match nothing; a null doc_id is
+Items of equal words are searched as one. Document windows go through bitmaps of the
+items' samples, which grow with the benchmark up to MOST_BITS; beyond that, more windows
+pass, and only the join that follows has more work. Only windows that pass are joined to
+the items; a sample that many documents and items share is a key whose rows Spark splits
+over tasks, and pairs are made distinct within each task first. Before the walks, windows
+are left out that have no run of 3 (size 5: 2) consecutive words of some item nearby. This
+loses no leak: at most n // 4 edits leave n - n // 4 of an item's n words in at most
+n // 4 + 1 runs, so that one has 3 words or more if n is 12 or more, and 2 if n is 5 or
+more. All windows within two sizes of the run are walked.
+
+Defined results: null or empty texts and items match nothing; a null doc_id or item_id is
 reported as null; rows of one doc_id report their smallest distance; repeated items
-each report; an empty table gives an empty result; other columns are ignored.
+each report; texts and items of any length are read whole, the longest in a batch of
+their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +57,8 @@ SIZES = (12, 5)
 TARGET = 0.9  # recall at n // ALLOWED edits, for every length n
 WALKS, TABLES = 8, 8
 SAMPLED = {12: 4, 5: 3}  # outputs by size
-FILTER_BITS = 24
+LEAST_BITS, MOST_BITS = 24, 28  # logarithms of the bitmaps' sizes
+BITS_A_KEY = 16
 ALLOWED = 4  # one edit for so many words
 LEAST_CHANGES = {12: 2, 5: 1}
 NO_KEY = np.uint64(0)
@@ -134,11 +144,11 @@ def _runs(w: tokens.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return splitmix(h + np.uint64(size)), at
 
 
-def _near(w: tokens.Words, size: int, at: np.ndarray, flags: np.ndarray, bits: int) -> np.ndarray:
+def _near(w: tokens.Words, size: int, at: np.ndarray, flags: np.ndarray) -> np.ndarray:
     """The windows within two sizes of which a run of some item of the size class begins."""
     h, begins = _runs(w, size)
     found = np.zeros(len(w.hashes), np.int64)
-    found[begins[_in(flags, h, bits)]] = 1
+    found[begins[_in(flags, h)]] = 1
     before = np.concatenate([[0], np.cumsum(found)])
     low = np.maximum(at - 2 * size, w.first[w.text[at]])
     high = np.minimum(at + 3 * size, w.first[w.text[at] + 1])
@@ -165,19 +175,27 @@ def item_keys(items: DataFrame) -> DataFrame:
                     rows["words"].append(signed(w.hashes[w.first[d] : w.first[d + 1]]).tolist())
                     rows["runs"].append(signed(np.unique(runs[w.text[begins] == d])).tolist())
                     rows["keys"].append(signed(np.setdiff1d(keys[w.text[at] == d], NO_KEY)).tolist())
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("words", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(rows, schema=types)
 
-    return items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(run, "item_id bigint, size int, words array<bigint>, runs array<bigint>, keys array<bigint>")
+    longs = pa.list_(pa.int64())
+    types = pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("words", longs), ("runs", longs), ("keys", longs)])
+    shape = "item_id bigint, size int, words array<bigint>, runs array<bigint>, keys array<bigint>"
+    return items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(run, shape)
 
 
 def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (keys >> np.uint64(64 - bits)).astype(np.int64), ((keys << np.uint64(bits)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bitmap(values: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+def bits_for(keys: int) -> int:
+    """The logarithm of a bitmap's size for so many keys."""
+    return min(max(LEAST_BITS, math.ceil(math.log2(max(1, keys * BITS_A_KEY)))), MOST_BITS)
+
+
+def bitmap(values: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of two probes over the longs of a one-column table, packed in segments on Spark.
 
-    Its 2^bits bits are all that comes to the driver, however many values there are.
+    Its 2^bits bits, as bytes, are all that comes to the driver, however many values there are.
     """
     name = values.columns[0]
     low = F.shiftrightunsigned(name, 64 - bits)
@@ -187,28 +205,35 @@ def bitmap(values: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         flags = np.zeros(65536, bool)
         flags[frame["bit"].to_numpy()] = True
-        return pd.DataFrame({"segment": frame["segment"].iloc[:1], "bytes": [np.packbits(flags).tobytes()]})
+        return pd.DataFrame({"segment": frame["segment"].iloc[:1], "bytes": [np.packbits(flags, bitorder="little").tobytes()]})
 
-    out = np.zeros(1 << bits, bool)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for row in slots.groupBy("segment").applyInPandas(pack, "segment bigint, bytes binary").toLocalIterator():
-        out[row["segment"] * 65536 : (row["segment"] + 1) * 65536] = np.unpackbits(np.frombuffer(row["bytes"], np.uint8)).astype(bool)
+        out[row["segment"] * 8192 : (row["segment"] + 1) * 8192] = np.frombuffer(row["bytes"], np.uint8)
     return out
 
 
-def _in(flags: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    a, b = _slots(keys, bits)
-    hit = flags[a]
-    hit[hit] = flags[b[hit]]
+def _set(flags: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (flags[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+
+
+def _in(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be among those of a bitmap."""
+    a, b = _slots(keys, int(len(flags)).bit_length() + 2)
+    hit = _set(flags, a)
+    hit[hit] = _set(flags, b[hit])
     return hit
 
 
-def regions(docs: DataFrame, sizes: list[int], longest: int, key_bits: bytes, run_bits: bytes, bits: int) -> DataFrame:
-    """Rows (doc_id, region, words, keys): stretches around windows that share a sample with some item."""
-    keys_at = docs.sparkSession.sparkContext.broadcast((key_bits, run_bits))
+def regions(docs: DataFrame, sizes: list[int], longest: int, keys_at: Broadcast) -> DataFrame:
+    """Rows (doc_id, region, words, keys): stretches around windows that share a sample with some item.
+
+    ``keys_at`` has the bitmaps of the items' samples and of their runs.
+    """
     reach = longest + longest // ALLOWED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_flags, run_flags = (np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for x in keys_at.value)
+        key_flags, run_flags = keys_at.value
         schema = pa.schema([("doc_id", pa.int64()), ("region", pa.int64()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
         for batch in batches:
             for part in by_size(batch, "text"):
@@ -216,11 +241,11 @@ def regions(docs: DataFrame, sizes: list[int], longest: int, key_bits: bytes, ru
                 w = tokens.words(data, offsets)
                 found_at, found_key = [], []
                 for size in sizes:
-                    at = _near(w, size, _windows(w, size), run_flags, bits)
+                    at = _near(w, size, _windows(w, size), run_flags)
                     for low in range(0, len(at), 1 << 15):
                         some = at[low : low + (1 << 15)]
                         keys = samples(w.hashes, some, size)
-                        row, table = np.nonzero((keys != NO_KEY) & _in(key_flags, keys.ravel(), bits).reshape(keys.shape))
+                        row, table = np.nonzero((keys != NO_KEY) & _in(key_flags, keys.ravel()).reshape(keys.shape))
                         found_at.append(some[row])
                         found_key.append(keys[row, table])
                 if not found_at or not sum(map(len, found_at)):
@@ -238,7 +263,9 @@ def regions(docs: DataFrame, sizes: list[int], longest: int, key_bits: bytes, ru
                     low, high = max(int(w.first[d]), int(at[b]) - reach), min(int(w.first[d + 1]), int(at[e - 1]) + reach)
                     stretch = w.hashes[low:high]
                     rows["doc_id"].append(ids[d].as_py())
-                    rows["region"].append(int(signed(splitmix(np.array([stretch.sum(dtype=np.uint64) + np.uint64(low)])))[0]))
+                    # a hash of the words in their order, and of their place
+                    placed = splitmix(stretch ^ splitmix(np.arange(low, high, dtype=np.uint64))).sum(dtype=np.uint64)
+                    rows["region"].append(int(signed(splitmix(np.array([placed])))[0]))
                     rows["words"].append(signed(stretch).tolist())
                     rows["keys"].append(signed(np.unique(key[b:e])).tolist())
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
@@ -258,31 +285,40 @@ def least_distance(item: np.ndarray, stretch: np.ndarray) -> int:
     return int(row.min())
 
 
-def leaks(docs: DataFrame, items: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, item_words, edits) for every leak found."""
-    known = written(item_keys(items), "leak-items")
-    shape = known.agg(F.max(F.size("words")).alias("longest"), F.collect_set("size").alias("sizes")).first()
+    spark = docs.sparkSession
+    every = written(item_keys(items), "leak-items")
+    # items of equal words are one, under a number that is fixed by writing it
+    alike = every.groupBy("words").agg(*(F.first(c).alias(c) for c in ("size", "runs", "keys")))
+    known = written(alike.withColumn("item", F.monotonically_increasing_id()), "leak-known")
+    sums = F.max(F.size("words")).alias("longest"), F.collect_set("size").alias("sizes"), F.sum(F.size("keys")).alias("keys"), F.sum(F.size("runs")).alias("runs")
+    shape = known.agg(*sums).first()
     if shape["longest"] is None:
-        return known.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, item_words int, edits int")
-    by_key = known.select(F.explode("keys").alias("key"), "item_id", "size").distinct()
-    packed = [np.packbits(bitmap(x, filter_bits)).tobytes() for x in (by_key.select("key"), known.select(F.explode("runs").alias("key")).distinct())]
-    found = written(regions(docs, sorted(shape["sizes"]), shape["longest"], packed[0], packed[1], filter_bits), "leak-regions")
-    pairs = found.select("doc_id", "region", F.explode("keys").alias("key")).join(by_key.select("key", "item_id"), "key").select("doc_id", "region", "item_id").distinct()
-    words = known.select("item_id", F.col("words").alias("item"))
-    both = pairs.join(words, "item_id").join(found.select("doc_id", "region", "words").dropDuplicates(["doc_id", "region"]).withColumnsRenamed({"doc_id": "d", "region": "r"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("region") == F.col("r")))
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint, item_words int, edits int")
+    by_key = known.select(F.explode("keys").alias("key"), "item").distinct()
+    maps = spark.sparkContext.broadcast((bitmap(by_key.select("key"), bits_for(shape["keys"])), bitmap(known.select(F.explode("runs").alias("key")), bits_for(shape["runs"]))))
+    found = written(regions(docs, sorted(shape["sizes"]), shape["longest"], maps), "leak-regions")
+    maps.destroy()
+    pairs = found.select("doc_id", "region", F.explode("keys").alias("key")).join(by_key, "key").select("doc_id", "region", "item").distinct()
+    stretches = found.select(F.col("doc_id").alias("d"), F.col("region").alias("r"), F.col("words").alias("stretch")).dropDuplicates(["d", "r"])
+    both = pairs.join(known.select("item", "words"), "item").join(stretches, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("region") == F.col("r")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             edits, n = [], []
-            for item, stretch in zip(batch.column("item"), batch.column("words"), strict=True):
+            for item, stretch in zip(batch.column("words"), batch.column("stretch"), strict=True):
                 a, b = item.values.to_numpy(), stretch.values.to_numpy()
                 n.append(len(a))
                 lacking = int(np.isin(a, b, invert=True).sum())
                 edits.append(lacking if lacking > len(a) // ALLOWED else least_distance(a, b))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(n, pa.int32()), pa.array(edits, pa.int32())], names=["doc_id", "item_id", "item_words", "edits"])
+            columns = [batch.column("doc_id"), batch.column("item"), pa.array(n, pa.int32()), pa.array(edits, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item", "item_words", "edits"])
 
-    measured = both.select("doc_id", "item_id", "item", "words").mapInArrow(run, "doc_id bigint, item_id bigint, item_words int, edits int")
-    return measured.where(F.col("edits") <= F.floor(F.col("item_words") / ALLOWED)).groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.min("edits").alias("edits"))
+    measured = both.select("doc_id", "item", "words", "stretch").mapInArrow(run, "doc_id bigint, item bigint, item_words int, edits int")
+    best = measured.where(F.col("edits") <= F.floor(F.col("item_words") / ALLOWED)).groupBy("doc_id", "item").agg(F.max("item_words").alias("item_words"), F.min("edits").alias("edits"))
+    names = every.select("item_id", "words").join(known.select("words", "item"), "words").select("item_id", "item")
+    return best.join(names, "item").select("doc_id", "item_id", "item_words", "edits")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
