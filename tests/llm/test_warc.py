@@ -81,3 +81,10 @@ def test_repeated_page_ids(spark, tmp_path):
     assert len(set(ids)) == len(ids)
     referred = {line.split(b": ")[1] for line in data.split(b"\r\n") if line.startswith(b"WARC-Refers-To: ") and b":2:" in line}
     assert referred and referred <= {i.split(b": ")[1] for i in ids}
+
+
+def test_only_large_payloads_are_dealt_out(spark):
+    """No shuffle stands above the pages that are too small to be looked for."""
+    frame = spark.createDataFrame(pages(), "page_id long, url string, html string")
+    plan = warc.planned(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.index("Union") < plan.index("Join")

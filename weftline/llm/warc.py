@@ -99,17 +99,23 @@ def planned(pages: DataFrame) -> DataFrame:
 
     ``sole`` is true for the only row of the page that revisits refer to, and ``row`` differs in all rows.
 
-    Only digests are grouped; a payload travels only where a digest occurs more than once.
+    Digests are grouped first, within each task and then over all. Payloads of
+    ``DEDUP_BYTES`` or more are then dealt out once, by digest, to meet the page that their
+    digest is a response of; where many have one digest, Spark splits them over tasks.
+    Smaller ones stay where they were read.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    # small payloads get keys that no other page has, so that they spread
-    alone = F.concat_ws("-", F.lit("page"), F.coalesce(F.col("page_id").cast("string"), F.xxhash64("url", "html").cast("string")))
-    keyed = rows.withColumn("digest", F.when(F.octet_length("html") >= DEDUP_BYTES, F.sha1(F.col("html").cast("binary"))).otherwise(alone))
-    each = keyed.where("digest NOT LIKE 'page-%'").groupBy(F.col("digest").alias("_digest"), "page_id").agg(F.count("*").alias("n"))
+    large = F.octet_length("html") >= DEDUP_BYTES
+    keyed = rows.where(large).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    each = keyed.groupBy(F.col("digest").alias("_digest"), "page_id").agg(F.count("*").alias("n"))
     most = each.groupBy("_digest").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("n")).where("n > 1 AND top.page_id IS NOT NULL")
-    twice = keyed.join(most.select("_digest", F.col("top.page_id").alias("last"), F.col("top.n").alias("times")), F.col("digest") == F.col("_digest"), "left")
+    most = most.select("_digest", F.col("top.page_id").alias("last"), F.col("top.n").alias("times"))
+    twice = keyed.join(most, F.col("digest") == F.col("_digest"), "left")
     sole = F.coalesce((F.col("page_id") == F.col("last")) & (F.col("times") == 1), F.lit(False))
-    return twice.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"), sole.alias("sole"), F.monotonically_increasing_id().alias("row"))
+    refers = F.when(F.col("page_id") < F.col("last"), F.col("last"))
+    both = twice.select("page_id", "url", "html", refers.alias("refers_to"), sole.alias("sole"))
+    small = rows.where(~large).select("page_id", "url", "html", F.lit(None).cast("bigint").alias("refers_to"), F.lit(False).alias("sole"))
+    return both.union(small).withColumn("row", F.monotonically_increasing_id())
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -214,18 +220,25 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     in_order = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.size("parts"))
     joined = grouped.select(
         F.col("key").alias("record_id"), F.coalesce("type", F.lit("response")).alias("type"), "page_id", "refers_to", "digest",
-        F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), "").alias("hexed"), F.coalesce(in_order & (size == F.col("total")), F.lit(False)).alias("valid"),
-    ).select("record_id", "type", "page_id", "refers_to", "digest", F.unhex("hexed").alias("block"), "valid")
+        F.transform("parts", lambda p: p["block"]).alias("blocks"), F.coalesce(in_order & (size == F.col("total")), F.lit(False)).alias("valid"),
+    )
+    every = whole.withColumn("blocks", F.array("block")).drop("block").unionByName(joined)
 
-    types = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("valid", pa.bool_())])
+    types = pa.schema([
+        ("record_id", pa.string()), ("type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()), ("valid", pa.bool_()),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_judged(k.as_py(), b.as_py(), d.as_py()) if v.as_py() else (None, None, False) for k, b, d, v in zip(batch.column("type"), batch.column("block"), batch.column("digest"), batch.column("valid"), strict=True)]
+            found = []
+            for kind, blocks, digest, valid in zip(*(batch.column(c) for c in ("type", "blocks", "digest", "valid")), strict=True):
+                block = b"".join(b.as_py() for b in blocks.values) if valid.as_py() else b""
+                found.append(_judged(kind.as_py(), block, digest.as_py()) if valid.as_py() else (None, None, False))
             columns = [batch.column(c) for c in ("record_id", "type", "page_id", "refers_to")] + [pa.array([f[i] for f in found], types.field(4 + i).type) for i in range(3)]
             yield pa.RecordBatch.from_arrays(columns, schema=types)
 
-    return whole.unionByName(joined).mapInArrow(run, PAYLOAD)
+    return every.mapInArrow(run, PAYLOAD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
