@@ -1,5 +1,7 @@
 import random
+import re
 
+from weftline.llm import queries
 from weftline.llm import url_filter as urls
 
 
@@ -63,13 +65,87 @@ def test_empty_and_split(spark):
     assert got == {i: (*split(u), rule_of(*split(u))[0]) for i, u, _ in odd}
 
 
+LINKED = [
+    (1, "http://q.org/a/b/c?x=1", '<link rel="alternate canonical" href="../d/./e?y=2#z">'),
+    (2, "http://q.org/a/d/e?y=2", ""),
+    (3, "http://q.org/p", '<base href="http://r.net/es/k/"><link href="../q" rel=\'canonical\'>'),
+    (4, "http://r.net/es/q", ""),
+    (5, "http://q.org/s?a=1", '<meta http-equiv="refresh" content="0; URL=?a=2">'),
+    (6, "http://q.org/s?a=2", '<link rel="canonical" href="http://r.net/fr/u"><link rel="canonical" href="/v/..">'),
+    (7, "http://q.org/", ""),
+    (8, "http://q.org/w", '<link rel="noncanonical" href="http://r.net/es/q">'),
+    (9, "http://q.org/../../a", '<link rel=canonical href="../../..">'),
+]
+
+
+def test_targets(spark):
+    got = sorted(map(tuple, urls.links(frame(spark, LINKED)).collect()))
+    assert got == [
+        ("http://q.org/../../a", "http://q.org/"), ("http://q.org/a/b/c?x=1", "http://q.org/a/d/e?y=2#z"), ("http://q.org/p", "http://r.net/es/q"),
+        ("http://q.org/s?a=1", "http://q.org/s?a=2"), ("http://q.org/s?a=2", "http://q.org/"), ("http://q.org/s?a=2", "http://r.net/fr/u"),
+    ]
+    verdicts = {r.page_id: r.verdict for r in urls.url_verdicts(frame(spark, LINKED), urls.RULES).collect()}
+    assert verdicts == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "allow", 9: "block"}
+
+
+def generated(n=3000, seed=5):
+    """Pages in chains and stars of links, some to a blocked or an allowed page, one star with a third of all."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        kind = rng.random()
+        to = "http://hub.org/x" if kind < 0.33 else f"http://s{i - 1}.org/p" if kind < 0.7 else rng.choice(["http://t.net/es/k", "http://t.example.com/en/k", "http://u.com/ok", ""])
+        rows.append((i, f"https://s{i}.org/p/", f'<p>text</p><link rel="canonical" href="{to}">' if to else "<p>"))
+    return rows + [(n, "http://hub.org/x", '<link rel="canonical" href="http://t.net/es/hub">'), (n + 1, "http://t.net/es/k", "")]
+
+
+def test_many_linked_pages_as_registered(spark, tmp_path):
+    """The registered query over linked pages: classes of any shape, blocked by one member, freed by another."""
+    rows = generated()
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op1_url_filter(spark, str(tmp_path)).collect()}
+    strip = lambda u: u.split("://", 1)[1].rstrip("/")
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    nodes = {i: strip(u) for i, u, _ in rows}
+    rules = {}
+    for _, u, h in rows:
+        for url in [u, *re.findall('href="([^"]+)"', h)]:
+            up[root(strip(url))] = root(strip(u))
+            if (action := rule_of(*split(url))[1]) is not None:
+                rules[strip(url)] = action
+    by_class = {}
+    for node, action in rules.items():
+        by_class.setdefault(root(node), set()).add(action)
+    want = {}
+    for i, u, _ in rows:
+        rule, action = rule_of(*split(u))
+        said = by_class.get(root(nodes[i]), set())
+        want[i] = (rule, action or ("allow" if "allow" in said else "block" if said else "allow"))
+    assert got == want and {v for _, v in got.values()} == {"allow", "block"}
+    assert sum(r is None and v == "block" for r, v in got.values()) > 500
+
+
+def test_long_lists_of_rules_are_joined(spark, monkeypatch):
+    every = PAGES + LINKED + [(100, "http://com/x", ""), (101, "http://a.b.net/es/", ""), (102, "http:///es/", "")]
+    rules = [*urls.RULES, ("block", "b.net", "/es/"), ("allow", "a.b.net", "/e")]
+    wanted = sorted(map(tuple, urls.url_verdicts(frame(spark, every), rules).collect()), key=repr)
+    monkeypatch.setattr(urls, "EXPRESSION_RULES", 0)
+    assert sorted(map(tuple, urls.url_verdicts(frame(spark, every), rules).collect()), key=repr) == wanted
+
+
 def test_sql_says_the_same(spark):
     import duckdb
     import pandas as pd
 
-    pages = pd.DataFrame(PAGES, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"})
+    pages = pd.DataFrame([*PAGES, *((i and i + 200, *r) for i, *r in LINKED)], columns=["page_id", "url", "html"]).astype({"page_id": "Int64"})
     con = duckdb.connect()
     con.register("pages", pages)
     want = con.execute(urls.SQL).fetchall()
-    got = urls.url_verdicts(frame(spark, PAGES), urls.RULES).collect()
+    got = urls.url_verdicts(frame(spark, [*PAGES, *((i and i + 200, *r) for i, *r in LINKED)]), urls.RULES).collect()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,11 @@ def observed(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict,
     return spark.read.schema(df.schema).parquet(path), {k: seen.get(k) for k in sums}, path
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def free_name(stem: str, *tables: DataFrame) -> str:
     """A column name that none of the tables has."""
     taken = {c.lower() for t in tables for c in t.columns}

@@ -33,7 +33,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import free_name
+from weftline.llm.common import bound, free_name
 
 #: kind -> (pattern, group that has the value, least length of that group)
 BASE = {
@@ -70,11 +70,6 @@ BLOCK = 64
 COUNT_BITS, COUNTS_A_LONG = 5, 12
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` reads it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _gathered(rows: Column, begin: Column, step: Callable[[Column, Column], Column], made: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """The spans that ``made`` gives while a small state goes over ``rows``.
 
@@ -93,14 +88,14 @@ def _gathered(rows: Column, begin: Column, step: Callable[[Column, Column], Colu
 
     def over(blocks: Column) -> Column:
         states = F.aggregate(blocks, F.array(begin), lambda known, part: F.concat(known, F.array(F.aggregate(part, F.element_at(known, -1), step))))
-        return _bound(states, lambda known: F.flatten(F.transform(blocks, lambda part, i: block(part, F.get(known, i)))))
+        return bound(states, lambda known: F.flatten(F.transform(blocks, lambda part, i: block(part, F.get(known, i)))))
 
     def cut(items: Column) -> Column:
         numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
         blocks = F.transform(numbers, lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
-        return F.when(F.size(items) > 0, _bound(blocks, over)).otherwise(_none())
+        return F.when(F.size(items) > 0, bound(blocks, over)).otherwise(_none())
 
-    return _bound(rows, cut)
+    return bound(rows, cut)
 
 
 def _pieces(text: Column, pattern: str, group: int) -> Column:
@@ -182,7 +177,7 @@ def max_entropy(value: Column, alphabet: str) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step)["least"]
 
-    return F.lit(math.log2(WINDOW)) - _bound(numbers, slid) / WINDOW
+    return F.lit(math.log2(WINDOW)) - bound(numbers, slid) / WINDOW
 
 
 def _entropy_spans(text: Column) -> Column:
@@ -216,7 +211,7 @@ def with_spans(docs: DataFrame, text: str = "text", base: str = "base_spans", sp
     out = docs.withColumn(base, F.array_sort(found))
     rest = body
     for kind in BLANKED:
-        rest = _bound(rest, partial(_blanked, kind))
+        rest = bound(rest, partial(_blanked, kind))
     left = free_name(f"{spans}_left", out)
     out = out.withColumn(left, F.when(F.size(base) > 0, rest).otherwise(body))
     more = F.when(F.col(left).rlike(NEEDS["entropy"]), _entropy_spans(F.col(left))).otherwise(_none())
@@ -269,7 +264,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     text = F.col("text")
     hit = F.size(cuts) > 0
-    out = found.withColumn("text", F.when(hit, _bound(F.encode(text, "UTF-8"), written)).otherwise(text))
+    out = found.withColumn("text", F.when(hit, bound(F.encode(text, "UTF-8"), written)).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,8 @@ verdict, whatever its aliases say.
 
 Other pages take the verdict of their equivalence class: connected components over
 redirects (``<meta http-equiv=refresh>`` and a table of redirects) and canonical
-links. One allowed page in the class allows the rest; else one blocked page blocks
+links, all of a page's. Targets are resolved against the page's address or its
+``<base href>``, dot segments too. One allowed page in the class allows the rest; else one blocked page blocks
 them; else they are allowed. URLs that differ only in scheme, fragment, tracking
 parameters or a closing slash are one node from the start.
 
@@ -24,16 +25,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
+from weftline.llm.common import bound, written
 from weftline.llm.components import components
 
-#: Rules become an expression of every row; larger lists need another way.
-MAX_RULES = 2000
+#: Up to so many rules become an expression of every row; more are joined by host.
+EXPRESSION_RULES = 200
+#: Up to so many rules are broadcast where they are joined.
+BROADCAST_RULES = 100_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRACKING = r"(^|&)(utm_[^=&]*|ref|fbclid|gclid)=[^&]*"
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*(?:\"[^\">]*\bcanonical\b[^\">]*\"|'[^'>]*\bcanonical\b[^'>]*'|canonical\b)[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+BASE = r"(?is)<base\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
 
@@ -62,38 +66,63 @@ def node_of(url: Column) -> Column:
     return F.when(host != "", F.when(query == "", plain).otherwise(F.concat(plain, F.lit("?"), query)))
 
 
-def _resolved(host: Column, path: Column, target: Column) -> Column:
-    """A link's target as a whole URL, as seen from a page; null for what isn't one."""
-    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
-    root = F.concat(F.lit("http://"), host)
-    folder = F.concat(root, F.when(path.contains("/"), F.regexp_extract(path, r"^(.*/)?", 0)).otherwise("/"))
-    return (
-        F.when(target == "", None)
-        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(root, target))
-        .when(~target.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|#)"), F.concat(folder, target))
-    )
+def _without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments are carried out."""
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    def carried_out(path: Column) -> Column:
+        parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+        ends = F.when(path.rlike(r"(^|/)\.\.?$"), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+        joined = F.concat(F.lit("/"), F.array_join(F.aggregate(ends, F.array().cast("array<string>"), step), "/"))
+        return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), joined).otherwise(path)
+
+    return bound(path, carried_out)
+
+
+def _resolved(place: Column, target: Column) -> Column:
+    """A link's target as a whole URL, as seen from a place (host, path); null for what isn't one."""
+    def whole(x: Column) -> Column:
+        host, path, target = x["host"], x["path"], x["target"]
+        root = F.concat(F.lit("http://"), host)
+        own = F.regexp_extract(target, "^([^?#]*)", 1)
+        rest = F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+        folder = F.when(path.contains("/"), F.regexp_extract(path, r"^(.*/)?", 0)).otherwise("/")
+        inside = F.when(target.startswith("/"), own).otherwise(F.concat(folder, own))
+        return (
+            F.when(target == "", None)
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+            .when(target.startswith("?"), F.concat(root, path, target))
+            .when(~target.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|#)"), F.concat(root, _without_dots(inside), rest))
+        )
+
+    plain = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    return bound(F.named_struct(F.lit("host"), place["host"], F.lit("path"), place["path"], F.lit("target"), plain), whole)
+
+
+def _place(url: Column) -> Column:
+    return F.named_struct(F.lit("host"), host_of(url), F.lit("path"), path_of(url))
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Rows (source, target) of whole URLs: each page's canonical link and its immediate redirect."""
-    found = pages.select("url", "html").where(F.col("html").rlike("(?i)canonical|http-equiv"))
-    found = found.select(
-        "url",
-        F.explode(F.array(
-            F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1),
-            F.regexp_extract(F.regexp_extract("html", REFRESH, 0), REFRESH_URL, 1),
-        )).alias("target"),
-    ).where("target <> ''")
-    found = found.select("url", "target", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
-    return found.select(F.col("url").alias("source"), _resolved(F.col("host"), F.col("path"), F.col("target")).alias("target")).where("target IS NOT NULL")
+    """Rows (source, target) of whole URLs: each page's canonical links and its immediate redirects."""
+    def within(tag: str, value: str) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, value, 1))
+
+    def from_base(place: Column) -> Column:
+        base = _resolved(place, F.regexp_extract(F.regexp_extract("html", BASE, 0), HREF, 1))
+        return bound(base, lambda b: F.when(b.isNotNull(), _place(b)).otherwise(place))
+
+    found = pages.select("url", "html").where(F.col("html").rlike("(?i)canonical|http-equiv") & (host_of(F.col("url")) != ""))
+    targets = F.concat(within(CANONICAL, HREF), within(REFRESH, REFRESH_URL))
+    found = found.select("url", bound(_place(F.col("url")), from_base).alias("place"), F.explode(targets).alias("target")).where("target <> ''")
+    return found.select(F.col("url").alias("source"), _resolved(F.col("place"), F.col("target")).alias("target")).where("target IS NOT NULL")
 
 
 def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """The rule that fits, a struct (rule, action), or null; rules are (action, host, path)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     if not rules:
         return F.lit(None).cast("struct<rule:string,action:string>")
     out = None
@@ -104,6 +133,25 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return out
 
 
+def with_rules(rows: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """``rows`` (host, path and others) with ``best``, the rule that fits, as ``best_rule`` gives it.
+
+    A long list is joined: each different host and path meets the rules of its host and of
+    the domains above it, and keeps the longest whose path fits.
+    """
+    if len(rules) <= EXPRESSION_RULES:
+        return rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+    table = rows.sparkSession.createDataFrame([(h, p, h + p, a) for a, h, p in rules], "rule_host string, rule_path string, rule string, action string")
+    table = F.broadcast(table) if len(rules) <= BROADCAST_RULES else table
+    parts = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    places = rows.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(above).alias("rule_host"))
+    fits = places.join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    rank = F.struct(F.length("rule").alias("n"), (F.col("action") == "allow").alias("allows"), "rule", "action")
+    best = fits.groupBy("host", "path").agg(F.max(rank).alias("top")).select("host", "path", F.struct("top.rule", "top.action").alias("best"))
+    return rows.join(best, ["host", "path"], "left")
+
+
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict, component), one for each row of ``pages``.
 
@@ -113,7 +161,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redire
     """
     url = F.col("url")
     judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    judged = written(judged.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)), "url-judged")
+    judged = written(with_rules(judged, rules), "url-judged")
 
     hops = links(pages)
     if redirects is not None:
@@ -127,7 +175,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redire
 
     # rules also fit the ends of links that aren't pages themselves
     ends = hops.select(F.explode("ends").alias("url")).select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
-    ends = ends.select("node", best_rule(F.col("host"), F.col("path"), rules).alias("best"))
+    ends = with_rules(ends, rules).select("node", "best")
     by_node = judged.select("node", "best").union(ends).where("best IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.bool_or(F.col("best.action") == "allow").alias("allows"))
     by_class = by_node.join(classes, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.bool_or("allows").alias("allows"))
     blocked = by_class.where("NOT allows").select(F.col("component").alias("_blocked"))
@@ -170,6 +218,18 @@ def _sql() -> str:
     def quoted(pattern: str) -> str:
         return pattern.replace("'", "''")
 
+    def without_dots(path: str) -> str:
+        segments = f"string_split(regexp_replace({path}, '^/', ''), '/') || CASE WHEN regexp_matches({path}, '(^|/)[.][.]?$') THEN [''] ELSE [] END"
+        kept = f"list_reduce({segments}, lambda k, s: CASE WHEN s = '..' THEN regexp_replace(k, '/[^/]*$', '') WHEN s = '.' THEN k ELSE k || '/' || s END, '')"
+        return f"CASE WHEN regexp_matches({path}, '(^|/)[.][.]?(/|$)') THEN CASE WHEN {kept} = '' THEN '/' ELSE {kept} END ELSE {path} END"
+
+    own, rest = "regexp_extract(t2, '^([^?#]*)', 1)", "regexp_extract(t2, '^[^?#]*(.*)$', 1)"
+    folder = "CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)?', 0) ELSE '/' END"
+    resolved = (
+        "CASE WHEN t2 = '' THEN NULL WHEN regexp_matches(t2, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t2 WHEN starts_with(t2, '//') THEN 'http:' || t2 "
+        f"WHEN starts_with(t2, '?') THEN 'http://' || host || path || t2 WHEN starts_with(t2, '/') THEN 'http://' || host || {without_dots(own)} || {rest} "
+        f"WHEN NOT regexp_matches(t2, '^([A-Za-z][A-Za-z0-9+.-]*:|#)') THEN 'http://' || host || {without_dots(f'(({folder}) || {own})')} || {rest} END"
+    )
     rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
     return f"""
 WITH RECURSIVE rules(action, rule_host, rule_path) AS (VALUES {rules}),
@@ -177,11 +237,12 @@ parts AS (SELECT row_number() OVER () AS n, page_id, url, html, {parts('url', ''
 judged AS (SELECT *, {node('')} AS node FROM parts),
 fits AS (SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
   FROM judged JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY n),
-links AS (SELECT host, path, node, regexp_extract(regexp_extract(html, '{quoted(CANONICAL)}', 0), '{quoted(HREF)}', 1) AS t FROM judged
-  UNION ALL SELECT host, path, node, regexp_extract(regexp_extract(html, '{quoted(REFRESH)}', 0), '{quoted(REFRESH_URL)}', 1) FROM judged),
-whole AS (SELECT node, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-  WHEN starts_with(t, '/') THEN 'http://' || host || t WHEN NOT regexp_matches(t, '^([A-Za-z][A-Za-z0-9+.-]*:|#)') THEN 'http://' || host || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)?', 0) ELSE '/' END || t END AS target
-  FROM (SELECT host, path, node, replace(t, '&amp;', '&') AS t FROM links WHERE t <> '')),
+linked AS (SELECT *, regexp_extract(regexp_extract(html, '{quoted(BASE)}', 0), '{quoted(HREF)}', 1) AS t FROM judged WHERE host <> ''),
+based AS (SELECT *, {resolved} AS base FROM (SELECT *, replace(t, '&amp;', '&') AS t2 FROM linked)),
+seen AS (SELECT n, node, html, {parts("coalesce(base, url)", 'b')} FROM based),
+links AS (SELECT node, bhost AS host, bpath AS path, unnest(list_transform(regexp_extract_all(html, '{quoted(CANONICAL)}', 0), lambda x: regexp_extract(x, '{quoted(HREF)}', 1))) AS t FROM seen
+  UNION ALL SELECT node, bhost, bpath, unnest(list_transform(regexp_extract_all(html, '{quoted(REFRESH)}', 0), lambda x: regexp_extract(x, '{quoted(REFRESH_URL)}', 1))) FROM seen),
+whole AS (SELECT node, {resolved} AS target FROM (SELECT *, replace(t, '&amp;', '&') AS t2 FROM links WHERE t <> '')),
 targets AS (SELECT node AS u, {parts('target', 't')} FROM whole WHERE target IS NOT NULL AND node IS NOT NULL),
 ended AS (SELECT *, {node('t')} AS v FROM targets),
 edges AS (SELECT u, v FROM ended WHERE v IS NOT NULL),
