@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftline.llm import decontaminate, mixing, quality_rules
@@ -66,3 +67,40 @@ def test_names():
     module = importlib.util.module_from_spec(entry)
     entry.loader.exec_module(module)
     assert {f"op{i}" for i in range(1, 11)} <= {q.split("_")[0] for q in module.queries()} and "pipeline" in module.queries()
+
+
+def test_stages_on_odd_tables(spark, folder):
+    """Null ids, texts, languages and sources, repeated rows, a very long text, an empty table, columns of any name."""
+    path, docs, items = folder
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(60_000))
+    odd = [(None, docs[5][1], None, None, 1), (None, None, None, None, None), (5, docs[5][1], "en", "s2", 1), (5, docs[5][1], "en", "s2", 1), (6, docs[9][1], "en", "s1", 1), (7, "", "en", "s1", 0), (8, " \n", "de", None, 2), (9, long, "en", "s1", 1), (10, long + " tail", "xx", "s1", 1)]
+    frame = spark.createDataFrame([*docs[:5], *docs[10:20], *odd], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["_hit", "_kept", "_q_n_words", "_stratum", "_spans", "_base_spans", "wanted", "place", "q_n_words", "setting", "stratum", "kept", "cuts", "spans", "base_spans", "size", "start", "target", "n", "f1", "a.b", "a b"]
+    frame = frame.selectExpr("*", *(f"{i} AS `{n}`" for i, n in enumerate(names))).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, path)
+        assert out.schema.simpleString() == frame.schema.simpleString(), name
+        rows = out.collect()
+        assert all(r["cuts"] == names.index("cuts") and r["a.b"] == names.index("a.b") and r["m"] == {"k": r.doc_id} for r in rows), name
+        ids = sorted(r.doc_id for r in rows if r.doc_id is not None)
+        nameless = sum(r.doc_id is None for r in rows)
+        if name == "quality_rules":
+            assert ids == sorted([*range(5), *range(10, 20), 5, 5, 6, 9, 10]) and nameless == 1
+        if name == "near_dedup":
+            assert 10 not in ids and ids.count(5) == 1 and nameless == 2 and 9 in ids and len(ids) == len(set(ids)) and {7, 8} <= set(ids)
+        if name in ("decontamination", "secret_scan"):
+            assert len(rows) == frame.count()
+        assert stage(spark, frame.where("false"), path).count() == 0, name
+    mixed = corpus_pipeline.STAGES[-1][1](spark, frame, path)
+    assert mixed.count() == frame.count() and corpus_pipeline.STAGES[-1][1](spark, frame.where("false"), path).count() == 0
+    assert {r.taken for r in mixed.collect() if r["size"] == 0} == {0}
+
+
+def test_nothing_is_left_but_the_result(spark, folder):
+    path, _, _ = folder
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    out = corpus_pipeline.run(spark, path)
+    left = {p.name.rpartition("-")[0] for p in set(shared.iterdir()) - before if "-" in p.name and not (p / "rdd-0").exists()}
+    assert {n for n in left if n.startswith(("near", "leak", "quality", "mix", "pipeline"))} == {"pipeline-mixing"} and out.count() > 0

@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weftline.llm import tokens
 from weftline.llm.common import by_size, free_name, observed, splitmix, text_bytes, written
@@ -95,18 +96,20 @@ def measure(col: pa.Array) -> dict[str, np.ndarray]:
 
 def with_counts(docs: DataFrame, keep_text: bool = True, prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with the counts of their text as further columns."""
-    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
-    names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{prefix}{c}` bigint" for c in COUNTS)])
+    fields = docs.schema.fields
+    kept = [i for i, f in enumerate(fields) if keep_text or f.name != "text"]
+    text = docs.columns.index("text")
+    schema = StructType([*(fields[i] for i in kept), *(StructField(prefix + c, LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_size(batch, "text"):
-                counts = measure(part.column("text"))
-                columns = [part.column(c) for c in names] + [pa.array(counts[c].astype(np.int64)) for c in COUNTS]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, *(prefix + c for c in COUNTS)])
+            for part in by_size(batch, f"c{text}"):
+                counts = measure(part.column(text))
+                columns = [part.column(i) for i in kept] + [pa.array(counts[c].astype(np.int64)) for c in COUNTS]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    # columns go by their places, as their names may be of any kind
+    return docs.toDF(*(f"c{i}" for i in range(len(fields)))).mapInArrow(run, schema)
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -247,10 +250,13 @@ def _sql() -> str:
     columns = ", ".join(f"min(cutoff) FILTER (rule = '{rule}' AND bad > 0 AND 1000 * (k + 1) <= q * (n + 2)) AS {rule}" for rule in RULES)
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce("text", '') AS body FROM documents),
-w AS (SELECT *, regexp_extract_all(body, '[^ 	-]+') AS ws, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM t),
+w AS (SELECT *, regexp_extract_all(body, '[^ 	-
+]+') AS ws, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM t),
 g AS (SELECT *, list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS gs FROM w),
 h AS (SELECT *, map_from_entries(list_transform(map_entries(list_histogram(gs)), lambda e: {{'k': e.key, 'v': e.value}})) AS h FROM g),
-c AS (SELECT r, doc_id, lang, len(ws)::BIGINT AS n_words, length(regexp_replace(body, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+c AS (SELECT r, doc_id, lang, len(ws)::BIGINT AS n_words, length(regexp_replace(body, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   len(list_filter(range(1, len(ws) + 1), lambda i: (i <= len(gs) AND h[gs[i]] > 1) OR (i > 1 AND i - 1 <= len(gs) AND h[gs[i - 1]] > 1) OR (i > 2 AND i - 2 <= len(gs) AND h[gs[i - 2]] > 1)))::BIGINT AS n_repeat_words FROM h),
 m AS (SELECT *, {measures} FROM c),
