@@ -88,3 +88,12 @@ def test_only_large_payloads_are_dealt_out(spark):
     frame = spark.createDataFrame(pages(), "page_id long, url string, html string")
     plan = warc.planned(frame)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.index("Union") < plan.index("Join")
+
+
+def test_many_digests_are_joined_and_not_broadcast(spark, monkeypatch):
+    frame = spark.createDataFrame(pages(), "page_id long, url string, html string")
+    plan = lambda: warc.planned(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)
+    assert "strategy=broadcast" not in plan()
+    assert sorted(map(tuple, warc.round_trip(frame).collect()), key=repr) == want(pages())

@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import by_size, scratch, written
+from weftline.llm.common import by_size, observed, scratch, written
 
 DEDUP_BYTES = 1000
 SEGMENT = 32 << 10
 CHUNK = 4 << 10
 RECORDS = 1000
+#: Digests that are broadcast, at most; each takes some 100 bytes.
+MOST_BROADCAST = 100_000
 END = "\r\n\r\n"
 DATE = "2026-01-01T00:00:00Z"
 
@@ -99,10 +101,11 @@ def planned(pages: DataFrame) -> DataFrame:
 
     ``sole`` is true for the only row of the page that revisits refer to, and ``row`` differs in all rows.
 
-    Digests are grouped first, within each task and then over all. Payloads of
-    ``DEDUP_BYTES`` or more are then dealt out once, by digest, to meet the page that their
-    digest is a response of; where many have one digest, Spark splits them over tasks.
-    Smaller ones stay where they were read.
+    Digests are grouped first, within each task and then over all, and those that occur
+    more than once are written and counted. Up to ``MOST_BROADCAST`` they are broadcast, and
+    no payload moves. Of more, the payloads of ``DEDUP_BYTES`` and up are dealt out once, by
+    digest; where many have one digest, Spark splits them over tasks. Smaller payloads stay
+    where they were read in any case.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     large = F.octet_length("html") >= DEDUP_BYTES
@@ -110,6 +113,8 @@ def planned(pages: DataFrame) -> DataFrame:
     each = keyed.groupBy(F.col("digest").alias("_digest"), "page_id").agg(F.count("*").alias("n"))
     most = each.groupBy("_digest").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("n")).where("n > 1 AND top.page_id IS NOT NULL")
     most = most.select("_digest", F.col("top.page_id").alias("last"), F.col("top.n").alias("times"))
+    most, seen, _ = observed(most, "warc-digests", n=F.count(F.lit(1)))
+    most = F.broadcast(most) if (seen["n"] or 0) <= MOST_BROADCAST else most
     twice = keyed.join(most, F.col("digest") == F.col("_digest"), "left")
     sole = F.coalesce((F.col("page_id") == F.col("last")) & (F.col("times") == 1), F.lit(False))
     refers = F.when(F.col("page_id") < F.col("last"), F.col("last"))
