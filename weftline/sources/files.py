@@ -88,10 +88,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """A row for each feature: its properties, and its geometry in longitude and latitude."""
-    features = spark.read.option("multiLine", True).schema("features array<struct<properties:string,geometry:struct<type:string,coordinates:string>>>").json(path).select(F.explode("features").alias("f"))
-    sample = features.select("f.properties").where("properties IS NOT NULL")
+    shape = "features array<struct<properties:string,geometry:struct<type:string,coordinates:string>>>"
+    found = spark.read.option("multiLine", True).schema(shape).json(path).select(F.explode("features").alias("f"))
+    sample = found.select("f.properties").where("properties IS NOT NULL")
     schema = spark.read.json(sample.rdd.map(lambda r: r.properties)).schema
-    rows = features.select(F.from_json("f.properties", schema).alias("p"), F.col("f.geometry").alias("g"))
+    rows = found.select(F.from_json("f.properties", schema).alias("p"), F.col("f.geometry").alias("g"))
     # coordinate arrays have the nesting of WKT's parentheses
     pair = F.regexp_replace(F.regexp_replace("g.coordinates", r"\s+", ""), r"\[(-?[0-9.eE+-]+),(-?[0-9.eE+-]+)(?:,[^\]]*)?\]", "$1 $2")
     body = F.translate(pair, "[]", "()")
