@@ -78,8 +78,10 @@ def features(col: pa.Array) -> np.ndarray:
     again = np.bincount(line_text[~tokens.first_of_each(line_keys)], minlength=n)
     out = {name: per_text(flag[data], offsets) / size for name, flag in _CLASSES.items()}
     out |= {
-        "log_words": np.log1p(count), "word_length": size / some, "end_symbols": per_text(_CLASSES["symbols"][last], w.first) / some, "end_exclamations": per_text(_CLASSES["exclamations"][last], w.first) / some,
-        "next_repeats": per_text(same, w.first) / some, "distinct": per_text(fresh.astype(np.int64), w.first) / some, "line_words": np.log1p(count / np.maximum(lines, 1)), "dup_lines": again / np.maximum(lines, 1),
+        "log_words": np.log1p(count), "word_length": size / some,
+        "end_symbols": per_text(_CLASSES["symbols"][last], w.first) / some, "end_exclamations": per_text(_CLASSES["exclamations"][last], w.first) / some,
+        "next_repeats": per_text(same, w.first) / some, "distinct": per_text(fresh.astype(np.int64), w.first) / some,
+        "line_words": np.log1p(count / np.maximum(lines, 1)), "dup_lines": again / np.maximum(lines, 1),
     }
     return np.stack([out[name] for name in FEATURES], axis=1).astype(np.float64)
 
