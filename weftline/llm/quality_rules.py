@@ -259,11 +259,11 @@ c AS (SELECT r, doc_id, lang, len(ws)::BIGINT AS n_words, length(regexp_replace(
 ]', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   len(list_filter(range(1, len(ws) + 1), lambda i: (i <= len(gs) AND h[gs[i]] > 1) OR (i > 1 AND i - 1 <= len(gs) AND h[gs[i - 1]] > 1) OR (i > 2 AND i - 2 <= len(gs) AND h[gs[i - 2]] > 1)))::BIGINT AS n_repeat_words FROM h),
-m AS (SELECT *, {measures} FROM c),
+m AS MATERIALIZED (SELECT *, {measures} FROM c),
 q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-marked AS (SELECT m.*, quality FROM m LEFT JOIN q USING (doc_id)),
+marked AS MATERIALIZED (SELECT m.*, quality FROM m LEFT JOIN q USING (doc_id)),
 shares AS ({shares}),
-ladder AS (SELECT lang, q, {columns} FROM shares, (VALUES {rungs}) AS v(q) WHERE known > 0 GROUP BY lang, q),
+ladder AS MATERIALIZED (SELECT lang, q, {columns} FROM shares, (VALUES {rungs}) AS v(q) WHERE known > 0 GROUP BY lang, q),
 tested AS (SELECT s.lang, s.q, count(*) AS n, count(*) FILTER ({over}) AS k FROM ladder s JOIN marked m ON m.lang IS NOT DISTINCT FROM s.lang AND m.quality = 1 GROUP BY s.lang, s.q),
 passed AS (SELECT *, k < n * {RISK} AND {tail} <= {ERROR} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM tested)) AS ok FROM tested),
 chosen AS (SELECT lang, max(q) AS q FROM passed p WHERE NOT EXISTS (SELECT 1 FROM passed f WHERE f.lang IS NOT DISTINCT FROM p.lang AND f.q <= p.q AND NOT f.ok) GROUP BY lang),
