@@ -103,3 +103,35 @@ def test_weights_maximise_the_pairs_likelihood():
             moved = model.weights.copy()
             moved[i] += step
             assert loss(moved) > best - 2e-4
+
+
+def test_every_pair_counts():
+    """The fit has no gradient left over all pairs, not over a part of them."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, len(quality.FEATURES)))
+    good = x[:, 0] - 0.5 * x[:, 3] + rng.normal(scale=0.5, size=500) > -0.8
+    model = quality.fit(x, good)
+    z = np.clip((x - model.mean) / model.deviation, -quality.CLIP, quality.CLIP)
+    loses = 1 / (1 + np.exp((z[good] @ model.weights)[:, None] - (z[~good] @ model.weights)[None, :]))
+    gradient = (loses.sum(axis=1) @ z[good] - loses.sum(axis=0) @ z[~good]) / loses.size - quality.RIDGE * model.weights
+    assert np.abs(gradient).max() < 1e-7
+
+
+def test_every_label_counts(spark):
+    """Of 26,000 labelled documents, the threshold leaves as many below it as are labelled bad."""
+    rng = random.Random(8)
+    bad = [rng.random() < 0.3 for _ in range(26_000)]
+    rows = [(i, " ".join("".join(rng.choices("abcdefABC123.,;#|é", k=rng.randint(2, 9))) for _ in range(rng.randint(9, 40))) + "!%" * (rng.randint(0, 3) + b), int(not b)) for i, b in enumerate(bad)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = quality.quality_scores(frame.drop("quality"), frame.drop("text")).where("not held_out").select("doc_id", "predicted").toPandas()
+    assert len(got) > 20_500
+    assert abs((got["predicted"] == 0).sum() - sum(bad[i] for i in got["doc_id"])) <= 1
+
+
+def test_values_at_ranks(spark):
+    """Against sorting, with repeated, tiny, huge and equal values."""
+    rng = random.Random(2)
+    for values in ([rng.gauss(0, 1) for _ in range(3000)], [1e300, -1e300, 5e-324, 0.0, 1.0, 1.0 + 2**-52] * 3, [2.5] * 7):
+        rows = spark.createDataFrame([(v,) for v in values], "v double")
+        for rank in (0, len(values) // 3, len(values) - 1):
+            assert quality.at_rank(rows, "v", rank) == sorted(values)[rank]
