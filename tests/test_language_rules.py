@@ -130,3 +130,33 @@ def test_union_of_geometries(spark):
     for wrong in (a.select(geo.from_text(F.lit("POINT (1 1)")).alias("g")), a.union(b.limit(1))):
         with pytest.raises(rel.QueryError):
             rel.union_all(wrong, b)
+
+
+@pytest.mark.parametrize("task_rows", [50, 10_000, 1 << 23])
+def test_join_of_repeated_keys(spark, monkeypatch, task_rows):
+    """Against loops: keys of many rows, null keys, copies of whole rows, keys of one side; columns keep their order."""
+    monkeypatch.setattr(rel, "TASK_ROWS", task_rows)
+    a = [(i % 3 if i % 7 else None, "xy"[i % 2], i // 2) for i in range(300)] + [(9, "x", 1), (5, None, 2)]
+    b = [(i % 4 if i % 5 else None, "xyz"[i % 3], i // 3) for i in range(80)] + [(5, None, 3), (5, None, 3)]
+    left, right = spark.createDataFrame(a, "k int, s string, v int"), spark.createDataFrame(b, "l int, t string, w int")
+    got = rel.join_repeated(left, right, [(F.col("k"), F.col("l")), (F.upper("s"), F.upper("t"))])
+    assert got.columns == ["k", "s", "v", "l", "t", "w"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(x + y) for x in a for y in b if x[:2] == y[:2])
+    assert rel.join_repeated(left, right.where("false"), [(F.col("k"), F.col("l"))]).count() == 0
+
+
+def test_tasks_follow_the_rows_of_a_join(spark, monkeypatch):
+    """The registered join of many rows a key is shared by many tasks, also if there is one key."""
+    from weftline.plans import catalogue
+
+    monkeypatch.setattr(rel, "TASK_ROWS", 1000, raising=False)
+    data = "/root/testdata/sf0.01"
+    got = catalogue.QUERIES["join_multi_cond"](spark, data)
+    assert got.groupBy(F.spark_partition_id()).count().count() == 1 and got.count() > 0  # of under TASK_ROWS rows
+    monkeypatch.setattr(text, "get", lambda column, at: F.lit("x"))
+    got = catalogue.QUERIES["join_multi_cond"](spark, data)
+    made = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) > 5000 and max(made) < 2500
+    one = spark.range(400).selectExpr("id AS a", "1 AS k"), spark.range(300).selectExpr("id AS b", "1 AS l")
+    made = [r["count"] for r in rel.join_repeated(*one, [(F.col("k"), F.col("l"))]).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 120_000 and max(made) < 8000

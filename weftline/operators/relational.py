@@ -1,7 +1,7 @@
 """Relational operators with the transformation language's rules for nulls, names and types.
 
-All lower to plain DataFrame plans; only a union of geometries and a page's totals run
-a job. A predicate that a null
+All lower to plain DataFrame plans; only a union of geometries, a page's totals and a
+join of repeated keys run a job. A predicate that a null
 makes unknown keeps no row and takes no branch, just as a false one; so those without
 a negation are left as they are, and their comparisons reach the scan. Only the
 negations need the null made false first.
@@ -9,7 +9,8 @@ negations need the null made false first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from weftline.functions import geometry
 
 
+#: Rows that a task of ``join_repeated`` makes, about.
+TASK_ROWS = 1 << 23
+
+
 class QueryError(ValueError):
     """A query that can't be run, found before any job starts."""
 
@@ -105,6 +110,38 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column, Column]],
     return left.join(right, reduce(lambda x, y: x & y, (a.eqNullSafe(b) for a, b in on)), how)
 
 
+def join_repeated(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """Inner ``join`` for keys that repeat on both sides, so that the result can be far larger than its inputs.
+
+    Spark sizes tasks by what they read. Here one job counts the pairs first, and as many
+    tasks share them as ``TASK_ROWS`` asks for. A key of more pairs is cut into tiles:
+    its rows of each side are dealt into runs, and each run of one side meets each of the
+    other. Rows are dealt by their place in the partitions they are read from.
+    """
+    mark = "_" * (1 + max(map(len, left.columns + right.columns)))
+    key, tile, place, across, down = (f"{mark}{n}" for n in ("key", "tile", "place", "across", "down"))
+    sides = [rows.withColumn(key, F.struct(*(pair[s].alias(f"k{i}") for i, pair in enumerate(on)))) for s, rows in enumerate((left, right))]
+    n, m = (rows.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias(name)) for rows, name in zip(sides, (across, down), strict=True))
+    sizes, pairs = n.join(m, key), F.col(across) * F.col(down)
+    total = sizes.agg(F.sum(pairs)).first()[0] or 0
+    if total <= TASK_ROWS:
+        return join(left, right, on)
+    run = math.isqrt(TASK_ROWS)
+    large = sizes.where(pairs > TASK_ROWS).select(key, *(F.ceil(F.col(c) / run).alias(c) for c in (across, down)))
+
+    def dealt(rows: DataFrame, own: str, other: str, tiled: Callable[[Column, Column], Column], suffix: str) -> DataFrame:
+        rows = rows.withColumn(place, F.xxhash64(F.monotonically_increasing_id())).join(large, key, "left")
+        rows = rows.withColumns({c: F.coalesce(c, F.lit(1)) for c in (across, down)})
+        rows = rows.withColumn(tile, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
+        rows = rows.withColumn(tile, tiled(F.pmod(place, own), F.col(tile))).drop(place, across, down)
+        return rows.withColumnsRenamed({c: c + suffix for c in (key, tile)}).repartition(math.ceil(2 * total / TASK_ROWS), key + suffix, tile + suffix)
+
+    a = dealt(sides[0], across, down, lambda mine, met: mine * F.col(down) + met, "a")
+    b = dealt(sides[1], down, across, lambda mine, met: met * F.col(down) + mine, "b")
+    added = [c + suffix for c in (key, tile) for suffix in "ab"]
+    return a.join(b, (F.col(added[0]) == F.col(added[1])) & (F.col(added[2]) == F.col(added[3]))).drop(*added)
+
+
 def _one_srid(rows: DataFrame, name: str) -> int | None:
     """The reference system of a geometry column; none if it has no geometries."""
     found = rows.agg(F.min(f"`{name}`.srid").alias("low"), F.max(f"`{name}`.srid").alias("high"), F.bool_or(F.col(f"`{name}`").isNotNull() & F.col(f"`{name}`.srid").isNull()).alias("none")).first()

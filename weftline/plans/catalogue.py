@@ -101,7 +101,7 @@ for _how in ("inner", "left", "right", "full"):
 
 @_query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND substr(c_name, length(c_name), 1) = substr(s_name, length(s_name), 1)")
 def join_multi_cond(t):
-    rows = rel.join(t("customer"), t("supplier"), [(c("c_nationkey"), c("s_nationkey")), (text.get(c("c_name"), -1), text.get(c("s_name"), -1))])
+    rows = rel.join_repeated(t("customer"), t("supplier"), [(c("c_nationkey"), c("s_nationkey")), (text.get(c("c_name"), -1), text.get(c("s_name"), -1))])
     return rows.select("c_custkey", "s_suppkey")
 
 
