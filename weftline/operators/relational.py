@@ -116,10 +116,12 @@ def join_repeated(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column,
     Spark sizes tasks by what they read. Here one job counts the pairs first, and as many
     tasks share them as ``TASK_ROWS`` asks for. A key of more pairs is cut into tiles:
     its rows of each side are dealt into runs, and each run of one side meets each of the
-    other. Rows are dealt by their place in the partitions they are read from.
+    other. Rows of keys that the other side lacks fall out before. Rows are dealt by
+    their place in the partitions they are read from.
     """
     mark = "_" * (1 + max(map(len, left.columns + right.columns)))
     key, tile, place, across, down = (f"{mark}{n}" for n in ("key", "tile", "place", "across", "down"))
+    spots = f"{mark}spot_a", f"{mark}spot_b"
     sides = [rows.withColumn(key, F.struct(*(pair[s].alias(f"k{i}") for i, pair in enumerate(on)))) for s, rows in enumerate((left, right))]
     n, m = (rows.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias(name)) for rows, name in zip(sides, (across, down), strict=True))
     sizes, pairs = n.join(m, key), F.col(across) * F.col(down)
@@ -127,19 +129,17 @@ def join_repeated(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column,
     if total <= TASK_ROWS:
         return join(left, right, on)
     run = math.isqrt(TASK_ROWS)
-    large = sizes.where(pairs > TASK_ROWS).select(key, *(F.ceil(F.col(c) / run).alias(c) for c in (across, down)))
+    runs = sizes.select(key, *(F.when(pairs > TASK_ROWS, F.ceil(F.col(c) / run)).otherwise(1).alias(c) for c in (across, down)))
 
-    def dealt(rows: DataFrame, own: str, other: str, tiled: Callable[[Column, Column], Column], suffix: str) -> DataFrame:
-        rows = rows.withColumn(place, F.xxhash64(F.monotonically_increasing_id())).join(large, key, "left")
-        rows = rows.withColumns({c: F.coalesce(c, F.lit(1)) for c in (across, down)})
+    def dealt(rows: DataFrame, own: str, other: str, tiled: Callable[[Column, Column], Column], spot: str) -> DataFrame:
+        rows = rows.withColumn(place, F.xxhash64(F.monotonically_increasing_id())).join(runs, key)
         rows = rows.withColumn(tile, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
-        rows = rows.withColumn(tile, tiled(F.pmod(place, own), F.col(tile))).drop(place, across, down)
-        return rows.withColumnsRenamed({c: c + suffix for c in (key, tile)}).repartition(math.ceil(2 * total / TASK_ROWS), key + suffix, tile + suffix)
+        rows = rows.withColumn(spot, F.struct(key, tiled(F.pmod(place, own), F.col(tile)).alias("tile"))).drop(key, tile, place, across, down)
+        return rows.repartition(math.ceil(2 * total / TASK_ROWS), spot)
 
-    a = dealt(sides[0], across, down, lambda mine, met: mine * F.col(down) + met, "a")
-    b = dealt(sides[1], down, across, lambda mine, met: met * F.col(down) + mine, "b")
-    added = [c + suffix for c in (key, tile) for suffix in "ab"]
-    return a.join(b, (F.col(added[0]) == F.col(added[1])) & (F.col(added[2]) == F.col(added[3]))).drop(*added)
+    a = dealt(sides[0], across, down, lambda mine, met: mine * F.col(down) + met, spots[0])
+    b = dealt(sides[1], down, across, lambda mine, met: met * F.col(down) + mine, spots[1])
+    return a.join(b.hint("merge"), F.col(spots[0]) == F.col(spots[1])).drop(*spots)
 
 
 def _one_srid(rows: DataFrame, name: str) -> int | None:
